@@ -42,6 +42,12 @@ def number_within(df: DataFrame, group: list[str], order: list[str], name: str,
     return dealt.withColumn("_in", inside).join(starts, [*group, "_chunk"]).withColumn(name, F.col("_start") + F.col("_in") - 1).drop("_chunk", "_in", "_start")
 
 
+def sampled(df: DataFrame, by: str, rows: int) -> DataFrame:
+    """About `rows` rows of df, 2 * rows at most, picked by a hash of column `by`; all of them where there are fewer."""
+    every = max(1, df.count() // rows)
+    return df.where(F.pmod(F.xxhash64(F.col(by), F.lit("sample")), F.lit(every)) == 0).limit(2 * rows)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, packing, rules, sharding
+from tidewatch.llm import decontamination, language, packing, quality, rules, sharding, urls
 from tidewatch.llm.common import plain, table_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,36 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", decontamination.covered().cast("long").alias("n_hit"), n.alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (n >= 2).alias("contaminated"))
 
 
+def held_out(id_col: str = "doc_id") -> Column:
+    """Rows that nothing is learned from."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+@query("op4_language")
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table_dir(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~held_out()))
+    return language.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "languages", "proportions")
+
+
+#: The given rules.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query("op6_url_filter")
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A page's label is that of the document with its id: low quality or toxic means block.
+    labels = table_dir(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
+    return urls.filter_urls(table_dir(spark, sf_dir, "pages"), URL_RULES, labels)
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = plain(table_dir(spark, sf_dir, "documents"), "doc_id", "text")
+    model = quality.fit(table_dir(spark, sf_dir, "labels").where(~held_out()), docs)
+    return quality.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: len(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) > 0) AS l FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
@@ -67,7 +97,7 @@ f AS (SELECT doc_id, t, CAST(len(w) AS BIGINT) AS n_words, CAST(len(regexp_repla
   FROM d LEFT JOIN rep USING (doc_id)),
 g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars > 18 * n_words OR word_chars < 2 * n_words OR 100 * n_dup_lines > 30 * n_lines OR 2 * caps > letters OR 10 * shouts > n_words) AS kept
+  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars > 18 * n_words OR word_chars < 2 * n_words OR n_dup_lines >= 3 AND 2 * n_dup_lines > n_lines OR 2 * caps > letters OR 10 * shouts > n_words) AS kept
 FROM g
 """
 
@@ -75,6 +105,6 @@ FROM g
 @query("op10_quality_rules", OP10_SQL)
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = plain(table_dir(spark, sf_dir, "documents"), "doc_id", "text")
-    judged = rules.cascade(rules.word_features(docs), rules.production_rules())
+    judged = rules.cascade(docs, rules.production_rules(), rules.word_features)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))

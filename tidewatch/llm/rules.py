@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import held
+from tidewatch.llm.common import cut, held, sampled
 
 #: The white space that parts words, and the symbols that are counted.
 SPACE = r"[\x20\x09-\x0D]"
@@ -61,14 +62,12 @@ def word_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def cascade_order(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000, repeats: int = 2) -> list[tuple[Rule, float, float]]:
+def cascade_order(sample: DataFrame, rules: list[Rule], repeats: int = 2) -> list[tuple[Rule, float, float]]:
     """The rules by rejections per second, the best first, each with its seconds and its rejected share on a sample.
 
-    The sample is the first `sample_rows` rows by a hash of the whole row. A rule's cost is the least time of `repeats` runs over
-    the sample, less that of a run without a rule. On an empty table the rules keep their order.
+    A rule's cost is the least time of `repeats` runs over the sample, less that of a run without a rule. On an empty sample the
+    rules keep their order.
     """
-    rows = docs.orderBy(F.xxhash64(*docs.columns)).limit(sample_rows)
-    sample = docs.sparkSession.createDataFrame(rows.collect(), docs.schema).coalesce(1)
 
     def run(rule: Column) -> tuple[float, float]:
         best, share = float("inf"), 0.0
@@ -86,16 +85,19 @@ def cascade_order(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000, r
     return sorted(found, key=lambda x: -x[2] / x[1])
 
 
-def cascade(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000) -> DataFrame:
-    """Add rejected_by: the first rule, in the order of cascade_order, that rejects the row, or null.
+def cascade(docs: DataFrame, rules: list[Rule], prepare: Callable[[DataFrame], DataFrame] = lambda x: x, id_col: str = "doc_id", sample_rows: int = 1000) -> DataFrame:
+    """prepare(docs) with rejected_by: the first rule, in the order of cascade_order, that rejects the row, or null.
 
-    CASE WHEN stops at the first true branch, so a row pays for the rules up to its rejection only. Whether a row is rejected does
-    not depend on the order.
+    prepare adds the columns that the rules read. Costs and selectivities are measured on prepare(sample), where the sample has
+    about `sample_rows` rows, twice that at most. CASE WHEN stops at the first true branch, so a row pays for the rules up to its
+    rejection only. Whether a row is rejected does not depend on the order.
     """
+    few = sampled(docs, id_col, sample_rows).collect()
     out = F.lit(None).cast("string")
-    for rule, _, _ in reversed(cascade_order(docs, rules, sample_rows)):
+    measured = cut(prepare(docs.sparkSession.createDataFrame(few, docs.schema).coalesce(1)))
+    for rule, _, _ in reversed(cascade_order(measured, rules)):
         out = F.when(F.coalesce(rule.rejects, F.lit(False)), F.lit(rule.name)).otherwise(out)
-    return docs.withColumn("rejected_by", out)
+    return prepare(docs).withColumn("rejected_by", out)
 
 
 def production_rules(text_col: str = "text") -> list[Rule]:
@@ -107,7 +109,7 @@ def production_rules(text_col: str = "text") -> list[Rule]:
         Rule("repeated_windows", 100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         Rule("symbols", 10 * F.col("n_symbols") > F.col("n_words")),
         Rule("word_length", (F.col("word_chars") > 18 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words"))),
-        Rule("repeated_lines", 100 * F.col("n_dup_lines") > 30 * (F.length(text) - F.length(F.translate(text, "\n", "")) + 1)),
+        Rule("repeated_lines", (F.col("n_dup_lines") >= 3) & (2 * F.col("n_dup_lines") > F.length(text) - F.length(F.translate(text, "\n", "")) + 1)),
         Rule("capitals", 2 * count("[A-Z]") > count("[A-Za-z]")),
         Rule("shouting", 10 * count("!") > F.col("n_words")),
     ]
