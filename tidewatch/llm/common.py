@@ -48,6 +48,11 @@ def sampled(df: DataFrame, by: str, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.col(by), F.lit("sample")), F.lit(every)) == 0).limit(2 * rows)
 
 
+def only(df: DataFrame, ids: DataFrame, most: int = 500_000) -> DataFrame:
+    """df's rows with an `id` in ids; ids are broadcast if they are `most` at most, so texts that nobody asks for aren't shuffled."""
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids, "id", "left_semi")
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
