@@ -17,17 +17,27 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lower, BETWEEN), lambda w: w != "")
 
 
-def winnowed(n: str, hashes: str, k: int, window: int) -> Column:
-    """Of each run of `window` k-gram hashes the least, and of equal ones the last: [(hash, its k-gram's place from 0)], each once.
+#: Bits of a fingerprint that hold its place, counted down so that of equal hashes the last is least; the others are the hash's.
+PLACE_BITS = 28
+LAST = (1 << PLACE_BITS) - 1
+
+
+def grams(n: str, hashes: str, k: int) -> Column:
+    """Fingerprints of all runs of k words."""
+    run = ", ".join(f"get({hashes}, i + {j})" for j in range(k))
+    return F.expr(f"CASE WHEN {n} < {k} THEN cast(array() AS array<bigint>) ELSE transform(sequence(0, greatest({n} - {k}, 0)), i -> (xxhash64({run}) & {~LAST}L) | ({LAST}L - i)) END")
+
+
+def winnowed(prints: str, window: int) -> Column:
+    """The least fingerprint of each run of `window` ones, each once; none where there are fewer.
 
     Two texts that share k + window - 1 words share the k-gram that is picked there, at the same place of the shared words.
     """
-    grams = f"transform(sequence(0, greatest({n} - {k}, 0)), i -> struct(xxhash64(slice({hashes}, i + 1, {k})) AS h, -i AS back))"
-    least = f"array_distinct(transform(sequence(1, greatest(size(g) - {window - 1}, 1)), i -> array_min(slice(g, i, {window}))))"
-    return F.expr(f"CASE WHEN {n} < {k + window - 1} THEN cast(array() AS array<struct<h: bigint, back: int>>) ELSE element_at(transform(array({grams}), g -> {least}), 1) END")
+    run = ", ".join(f"get({prints}, i + {j})" for j in range(window))
+    return F.expr(f"CASE WHEN size({prints}) < {window} THEN cast(array() AS array<bigint>) ELSE array_distinct(transform(sequence(0, greatest(size({prints}) - {window}, 0)), i -> least({run}))) END")
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 8, k: int = 5, broadcast_rows: int = 200_000) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 8, k: int = 4, broadcast_rows: int = 200_000) -> DataFrame:
     """Where documents share `span` words with benchmark items. Returns (id_col, n_words, spans, item_ids) for every document.
 
     spans: [(first word, words)] of occurring windows, in order; item_ids: the items, sorted as strings. A window is `span`
@@ -39,32 +49,36 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     taken as distinct. A document without a hit has empty lists.
     """
     gram = span - k + 1
-    split = docs.select(F.col(id_col).alias("id"), held(words(F.col(text_col)), "w"))
-    hashed = split.select("id", "w", F.size("w").alias("n"), held(F.transform("w", lambda x: F.xxhash64(x)), "hw"))
-
-    item_words = items.select(F.col(item_col).cast("string").alias("item"), held(words(F.col(item_text_col)), "w")).where(F.size("w") > 0)
-    whole = item_words.withColumn("n", F.size("w"))
-    long = whole.where(F.col("n") >= span).select("item", F.explode(F.expr(f"transform(sequence(1, n - {span - 1}), i -> slice(w, i, {span}))")).alias("win"))
-    windows = cut(long.unionByName(whole.where(F.col("n") < span).select("item", F.col("w").alias("win"))).groupBy("win").agg(F.collect_set("item").alias("items")))
-    hashed_windows = windows.select("win", "items", F.size("win").alias("m"), held(F.transform("win", lambda x: F.xxhash64(x)), "hw"))
-    at = winnowed("m", "hw", k, gram)
-    picked = hashed_windows.where(F.col("m") == span).select("win", "items", "m", F.explode(at).alias("p")).select("win", "items", "m", F.col("p.h").alias("h"), (-F.col("p.back")).alias("inside"))
-    short = hashed_windows.where(F.col("m") < span).select("win", "items", "m", F.xxhash64("hw").alias("h"), F.lit(0).alias("inside"))
-    lengths = [r["m"] for r in short.select("m").distinct().collect()]  # fewer than `span` numbers
-    index = picked.unionByName(short)
-    if windows.count() <= broadcast_rows:
-        index = F.broadcast(index)
-
-    seeds = [winnowed("n", "hw", k, gram)]
-    seeds += [F.expr(f"CASE WHEN n < {m} THEN cast(array() AS array<struct<h: bigint, back: int>>) ELSE transform(sequence(0, greatest(n - {m}, 0)), i -> struct(xxhash64(slice(hw, i + 1, {m})) AS h, -i AS back)) END") for m in lengths]
-    seen = hashed.select("id", "w", F.explode(F.concat(*seeds) if len(seeds) > 1 else seeds[0]).alias("p")).select("id", "w", F.col("p.h").alias("h"), (-F.col("p.back")).alias("place"))
+    hashes = lambda df: df.withColumn("n", F.size("w")).select("*", held(F.transform("w", lambda x: F.xxhash64(x)), "hw"))
+
+    item_words = items.select(F.col(item_col).cast("string").alias("item"), held(words(F.col(item_text_col)), "w")).where(F.size("w") > 0).withColumn("n", F.size("w"))
+    long = item_words.where(F.col("n") >= span).select("item", F.explode(F.expr(f"transform(sequence(1, n - {span - 1}), i -> slice(w, i, {span}))")).alias("w"))
+    windows = cut(long.unionByName(item_words.where(F.col("n") < span).select("item", "w")).groupBy("w").agg(F.collect_set("item").alias("items")))
+    known = hashes(windows).select("*", held(grams("n", "hw", k), "g"))
+    place = (F.lit(LAST) - F.col("p").bitwiseAND(LAST)).cast("int")
+    picked = known.where(F.col("n") == span).select("w", "items", "n", F.explode(winnowed("g", gram)).alias("p")).select(F.col("w").alias("win"), "items", F.col("n").alias("m"), F.shiftright("p", PLACE_BITS).alias("h"), place.alias("inside"))
+    lengths = sorted(r["n"] for r in windows.select(F.size("w").alias("n")).where(F.col("n") < span).distinct().collect())  # fewer than `span` numbers
+    index = picked
+    for m in lengths:
+        short = known.where(F.col("n") == m).select("w", "items", "n", F.explode(grams("n", "hw", m)).alias("p"))
+        index = index.unionByName(short.select(F.col("w").alias("win"), "items", F.col("n").alias("m"), F.shiftright("p", PLACE_BITS).alias("h"), F.lit(0).alias("inside")))
+    small = windows.count() <= broadcast_rows
+    none = docs.sparkSession.createDataFrame([([], [], 0, -1, 0)], "win array<string>, items array<string>, m int, h long, inside int")
+
+    split = hashes(docs.select(F.col(id_col).alias("id"), held(words(F.col(text_col)), "w")))
+    printed = split.select("id", "w", "n", "hw", held(grams("n", "hw", k), "g"))
+    # With a broadcast index each document also looks up one fingerprint of its own, which finds the empty window.
+    seeds = [*([F.array(F.lit(-1).cast("long"))] if small else []), winnowed("g", gram), *[grams("n", "hw", m) for m in lengths]]
+    seen = printed.select("id", "w", "n", F.explode(F.concat(*seeds) if len(seeds) > 1 else seeds[0]).alias("p")).select("id", "w", "n", F.shiftright("p", PLACE_BITS).alias("h"), place.alias("place"))
     first = F.col("place") - F.col("inside")
-    found = seen.join(index, "h").where((first >= 0) & (F.slice("w", F.greatest(first, F.lit(0)) + 1, F.col("m")) == F.col("win"))).select("id", first.alias("first"), "m", "items")
+    joined = seen.join(F.broadcast(index.unionByName(none)) if small else index, "h")
+    agrees = (F.col("m") == 0) | ((first >= 0) & (F.slice("w", F.greatest(first, F.lit(0)) + 1, F.col("m")) == F.col("win")))
+    found = joined.where(agrees).select("id", F.col("n").cast("long").alias("n_words"), F.when(F.col("m") > 0, F.struct(first.alias("first"), "m")).alias("span"), "items")
+    if not small:
+        found = found.unionByName(split.select("id", F.col("n").cast("long").alias("n_words"), F.lit(None).cast("struct<first: int, m: int>").alias("span"), F.expr("cast(array() AS array<string>)").alias("items")))
     # A window is met once for each place, so a document has at most as many rows here as words, for each length.
-    spans = found.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("first", "m"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
-    counted = split.select("id", F.size("w").cast("long").alias("n_words"))
-    out = counted.join(spans, "id", "left")
-    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("spans", F.expr("cast(array() AS array<struct<first: int, m: int>>)")).alias("spans"), F.coalesce("item_ids", F.expr("cast(array() AS array<string>)")).alias("item_ids"))
+    out = found.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
+    return out.withColumnRenamed("id", id_col)
 
 
 def covered(spans: str = "spans") -> Column:
