@@ -53,6 +53,11 @@ def only(df: DataFrame, ids: DataFrame, most: int = 500_000) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= most else ids, "id", "left_semi")
 
 
+def without(df: DataFrame, ids: DataFrame, id_col: str, most: int = 500_000) -> DataFrame:
+    """df's rows whose id isn't in ids, a checkpoint or a written table; rows with a null id stay. ids are broadcast if they are `most` at most."""
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids, id_col, "left_anti")
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
