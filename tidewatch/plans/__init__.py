@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: list[str] = []
+MODULES = ["curves"]
 
 
 def load() -> None:
