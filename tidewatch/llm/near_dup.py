@@ -58,20 +58,22 @@ def order_minhash(labelled: np.ndarray, seeds: np.ndarray, keep: int) -> np.ndar
     return mix(out ^ seeds)
 
 
-def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
-    """Matches / (all shingles of both - matches) of a banded alignment of two texts' labelled shingles, or 0.0 if surely under `least`.
+def similarity(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, least: float) -> float:
+    """Matches / (all shingles of both - matches) of a banded alignment of two texts, or 0.0 if surely under `least`.
 
-    The alignment matches equal labelled shingles in order, none further off the diagonal than two texts of that similarity allow.
+    a, b: labelled shingles in ascending order; at_a, at_b: their places in the text. The alignment matches equal labelled shingles in
+    the order of the texts, none further off the diagonal than two texts of that similarity allow.
     """
     n, m = len(a), len(b)
     if not n or not m or min(n, m) < least * max(n, m):
         return 0.0
-    need = least * (n + m) / (1 + least)
-    same, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    need = least * (n + m) / (1 + least) - 1e-9
+    where = np.searchsorted(b, a)
+    same = np.flatnonzero(b[np.minimum(where, m - 1)] == a)
     if len(same) < need:
         return 0.0
-    band = (n + m) - 2 * need
-    near = np.abs(i - j) <= band
+    i, j = at_a[same], at_b[where[same]]
+    near = np.abs(i - j) <= (n + m) - 2 * need
     i, j = i[near], j[near]
     tails: list[int] = []
     for x in j[np.argsort(i)].tolist():
@@ -98,14 +100,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, sketches: int = 32, keep: int = 6, full_bucket: int = 12, seed: int = 7) -> DataFrame:
-    """Each document's class of near duplicates: id_col, class_id (the least id of the class), n_links, n_copies.
+    """Each document's class of near duplicates: id_col, class_id (the least id of the class), n_copies.
 
     Words are those of word_table, shingles `k` words. Documents of the same words are one text (of texts without words, the equal
     ones); its least id stands for it. Each text has `sketches` order-MinHash entries of `keep` shingles; texts that share an entry
-    are candidates, and those aligned with a similarity of `least` or more are linked. Buckets of up to `full_bucket` texts give all
-    of their pairs. In a larger one every text is aligned with the bucket's leaders, those first by a hash; what no leader is linked
-    to goes on to the next round, with eight times the leaders, until nothing is left, so no bucket is capped. Classes are the
-    connected components of the links. n_links: the links of the document's text; n_copies: the documents of its text.
+    are candidates, and those aligned with a similarity of `least` or more are linked. Classes are the connected components of the
+    links. Buckets of up to `full_bucket` texts give all of their pairs. In a larger one every text is aligned with the bucket's
+    leader, the text with most company in all of its buckets. What a larger bucket still holds in two classes or more then goes
+    through an exact join on rare shingles, which loses no pair, so no bucket is capped; pairs within a class, whose alignment could
+    change nothing, are never made. n_copies: the documents of the document's text.
 
     Null texts count as empty. Ids are taken as distinct; rows of one id and one text count once, and null ids are left out. An
     empty table gives no rows.
@@ -142,22 +145,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs_schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("similarity", T.DoubleType())])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_of = None, None
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ta, tb = batch.column(2), batch.column(3)
-            keep_a, keep_b, sims = [], [], []
-            for i in range(len(a)):
-                if last is None or a[i] != last:
-                    h, _, _, starts, _ = word_table([ta[i].as_py()])
-                    last, last_of = a[i], shingles(h, starts, k)[0]
-                h, _, _, starts, _ = word_table([tb[i].as_py()])
-                s = similarity(last_of, shingles(h, starts, k)[0], least)
-                if s >= least:
-                    keep_a.append(a[i])
-                    keep_b.append(b[i])
-                    sims.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(keep_a, batch.column(0).type), pa.array(keep_b, batch.column(1).type), pa.array(sims, pa.float64())], names=pairs_schema.names)
+            row: dict = {}
+            for side, ids in ((0, a), (1, b)):
+                for i, x in enumerate(ids):
+                    row.setdefault(x, (side, i))
+            each = list(row)
+            texts = [batch.column(2 + row[x][0])[row[x][1]].as_py() for x in each]
+            own = {}
+            for low, high in slices(texts, 1_500_000):
+                h, _, _, starts, _ = word_table(texts[low:high])
+                labelled, first = shingles(h, starts, k)
+                for i in range(low, high):
+                    part = labelled[first[i - low] : first[i - low + 1]]
+                    order = np.argsort(part)
+                    own[each[i]] = part[order], order
+            found = [(x, y, s) for x, y in zip(a, b, strict=True) if (s := similarity(*own[x], *own[y], least)) >= least]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], batch.column(0).type), pa.array([f[1] for f in found], batch.column(1).type), pa.array([f[2] for f in found], pa.float64())], names=pairs_schema.names)
 
     def verified(pairs: DataFrame) -> DataFrame:
         rows = only(texts_of, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -165,36 +170,59 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = with_b.join(rows.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(align, pairs_schema).dropDuplicates(["a", "b"]))
 
-    links, leaders = None, 1
-    tried = None
-    while not is_empty(left):
+    shingle_kind = T.StructType([T.StructField("id", kind), T.StructField("s", T.ArrayType(T.LongType()))])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for low, high in slices(texts, 1_500_000):
+                h, _, _, starts, _ = word_table(texts[low:high])
+                labelled, first = shingles(h, starts, k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(labelled.view(np.int64)))], names=shingle_kind.names)
+
+    def prefix_pairs(texts: DataFrame, parts: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different parts that may be similar enough: of two texts that are, each shares one of its rarest shingles.
+
+        A text of n shingles shares least * n of them with any such partner, so one of its n - least * n + 1 rarest ones. Shingles that
+        no other text has are dropped from those, and with them all texts that are too unlike any other.
+        """
+        each = texts.mapInArrow(split, shingle_kind).select("id", F.explode("s").alias("s"))
+        counted = each.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("s")))
+        rare = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))
+        size = F.size("o")
+        prefix = rare.select("id", size.alias("n"), F.posexplode(F.slice("o", 1, (size - F.ceil(least * size - 1e-9) + 1).cast("int"))).alias("i", "p")).where(F.col("p.df") > 1)
+        keyed = cut(prefix.select("id", "n", "i", F.col("p.s").alias("s")).join(parts, "id"))
+        other = keyed.select("s", F.col("id").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("part").alias("other"))
+        # The first shared shingle leaves room for all that must be shared, on either side.
+        room = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= least / (1 + least) * (F.col("n") + F.col("m")) - 1e-9
+        return keyed.join(other, "s").where((F.col("id") < F.col("b")) & (F.col("part") != F.col("other")) & room).select(F.col("id").alias("a"), "b").distinct()
+
+    # Texts with many entries in full buckets are near the middle of their group, so they lead.
+    popular = left.groupBy("id").agg(F.sum(F.ln("n")).alias("weight"))
+    left = cut(left.join(popular, "id"))
+    links = classes = None
+    if not is_empty(left):
         small = left.where(F.col("n") <= full_bucket).groupBy("h").agg(F.array_sort(F.collect_set("id")).alias("ids"))
         ends = small.select(F.posexplode("ids").alias("at", "a"), "ids").select("a", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("b"))
         large = left.where(F.col("n") > full_bucket)
-        rank = F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64("id"), "id"))
-        heads = cut(large.select("h", F.col("id").alias("head")).withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64("head"), "head"))).where(F.col("rank") <= leaders).select("h", "head"))
-        led = large.join(heads, "h").where(F.col("id") != F.col("head"))
-        pairs = ends.unionByName(led.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        found = verified(pairs)
-        links = found if links is None else links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if is_empty(heads):
-            break
-        ok = led.select("h", "id", F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).join(links.select("a", "b"), ["a", "b"], "left_semi").select("h", "id")
-        gone = ok.unionByName(heads.select("h", F.col("head").alias("id"))).distinct()
-        rest = large.select("h", "id").join(gone, ["h", "id"], "left_anti")
-        again = rest.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-        left = cut(rest.join(again, "h"))
-        leaders *= 8
-    if links is None:
-        classes = members.select("same", F.col("rep").alias("class"), F.lit(0).cast("long").alias("n_links"), "n_copies")
+        lead = large.groupBy("h").agg(F.max(F.struct("weight", F.xxhash64("id"), "id")).alias("m")).select("h", F.col("m.id").alias("head"))
+        led = large.select("h", "id").join(lead, "h").where(F.col("id") != F.col("head"))
+        pairs = cut(ends.unionByName(led.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))).distinct())
+        links = verified(pairs)
+        classes = components(links)
+        # What is left are full buckets that still hold texts of two classes or more.
+        known = large.select("h", "id").join(classes, "id", "left").withColumn("part", F.coalesce("class", "id"))
+        mixed = known.groupBy("h").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).where(F.col("_a") != F.col("_b")).select("h")
+        rest = cut(known.join(mixed, "h", "left_semi").select("id", "part").distinct())
+        if not is_empty(rest):
+            more = cut(prefix_pairs(only(texts_of, rest.select("id")), rest).join(pairs, ["a", "b"], "left_anti"))
+            found = verified(more)
+            if not is_empty(found):
+                links = cut(links.unionByName(found))
+                classes = components(links)
+    if classes is None:
+        known = members.select("same", F.col("rep").alias("class"), "n_copies")
     else:
-        links = cut(links)
-        degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-        known = members.select("same", "rep", "n_copies").join(components(links).withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-        classes = known.select("same", F.coalesce("class", "rep").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
+        known = members.select("same", "rep", "n_copies").join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("same", F.coalesce("class", "rep").alias("class"), "n_copies")
     ids = sketched.select("id", "same").distinct()
-    return ids.join(classes, "same").select(F.col("id").alias(id_col), F.col("class").alias("class_id"), "n_links", "n_copies")
+    return ids.join(known, "same").select(F.col("id").alias(id_col), F.col("class").alias("class_id"), "n_copies")
