@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["curves"]
+MODULES = ["curves", "tables"]
 
 
 def load() -> None:
