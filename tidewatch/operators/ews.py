@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import kernels as K
@@ -67,8 +68,6 @@ def signals(df: DataFrame, surrogates: int = 0, kinds: tuple[str, ...] = ("iid",
     schema = "series_id string, n int, t_takeoff double, tau_var double, tau_ac double" + "".join(f", {c} double" for c in names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zlib
-
         for b in batches:
             out = []
             for name, v in zip(b["series_id"], b["v"], strict=True):
@@ -185,14 +184,10 @@ def detections(df: DataFrame) -> DataFrame:
 
 def null_pool(df: DataFrame, draws: int = 1200, seed: int = 0) -> DataFrame:
     """Deviances of AR(1) surrogates of the series: (n, deviance). Series are drawn with replacement by number, each draw seeded by its own number."""
-    import zlib
-
-    each = df.select(F.col("series_id").cast("string"), "v")
-    count = each.count()
-    picks = df.sparkSession.range(draws).select("id", F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(max(count, 1))).alias("k"))
-    from pyspark.sql import Window
-
+    # As many series as draws at most, the first by a hash, are numbered; a draw takes one of them.
+    each = df.select(F.col("series_id").cast("string"), "v").orderBy(F.xxhash64("series_id", F.lit(seed)), "series_id").limit(draws)
     dealt = each.withColumn("k", F.row_number().over(Window.orderBy("series_id")) - 1)
+    picks = df.sparkSession.range(draws).select("id", F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(max(each.count(), 1))).alias("k"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

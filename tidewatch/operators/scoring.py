@@ -60,18 +60,34 @@ def average_ranks(df: DataFrame, column: str, name: str, by: list[str]) -> DataF
     return df.withColumn(name, F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2)
 
 
+def sums_before(df: DataFrame, order: str, values: list[str], parts: int = 256) -> DataFrame:
+    """Add `<value>_before`: the sum of each value over rows of lesser `order`, which is distinct.
+
+    Rows are dealt into ranges by approximate quantiles, so no task orders them all; ranges before a row's add their totals.
+    """
+    edges = sorted(set(df.select(F.col(order).cast("double").alias("o")).approxQuantile("o", [i / parts for i in range(1, parts)], 0.001)))
+    place = F.size(F.filter(F.array(*[F.lit(e) for e in edges]) if edges else F.array().cast("array<double>"), lambda e: e < F.col(order)))
+    rows = df.withColumn("_part", place)
+    totals = rows.groupBy("_part").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # `parts` rows at most
+    starts = totals.select("_part", *[F.coalesce(F.sum(f"_{v}").over(ahead), F.lit(0)).alias(f"_{v}") for v in values])
+    inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = [(F.col(f"_{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0))).alias(f"{v}_before") for v in values]
+    return rows.join(F.broadcast(starts), "_part").select(*df.columns, *own)
+
+
 def auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
-    """One row: area under the ROC curve. Equal scores are counted together first, so the one ordered pass is over distinct scores."""
+    """One row: area under the ROC curve. Equal scores are counted together first."""
     counts = df.groupBy(F.col(score).alias("s")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("b", below).agg((F.sum(F.col("p") * (F.col("b") + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("auc"))
+    return sums_before(counts, "s", ["q"]).agg((F.sum(F.col("p") * (F.col("q_before") + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("auc"))
 
 
 def roc(df: DataFrame, score: str, positive: Column) -> DataFrame:
-    """score, tpr, fpr, from the highest score down."""
+    """score, tpr, fpr, with the rows of that score and above counted as positive."""
     counts = df.groupBy(F.col(score).alias("score")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    down, every = Window.orderBy(F.desc("score")), Window.partitionBy()
-    return counts.select("score", (F.sum("p").over(down) / F.sum("p").over(every)).alias("tpr"), (F.sum("q").over(down) / F.sum("q").over(every)).alias("fpr"))
+    every = counts.agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"))
+    rows = sums_before(counts, "score", ["p", "q"]).crossJoin(F.broadcast(every))  # one row
+    return rows.select("score", (1 - F.col("p_before") / F.col("_p")).alias("tpr"), (1 - F.col("q_before") / F.col("_q")).alias("fpr"))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["curves", "tables"]
+MODULES = ["curves", "tables", "models"]
 
 
 def load() -> None:
