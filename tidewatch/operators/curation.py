@@ -24,7 +24,7 @@ def gate(df: DataFrame, disruptions: DataFrame, least: int = 10, longest_gap: in
     """
     first = df.groupBy("series_id").agg(F.count("v").alias("known"))
     filled = W.fill_gaps(W.trim_ends(df.where(F.col("t").isNotNull())), longest_gap)
-    rows = W.indexed(filled).withColumn("peak", F.max("v").over(W.SERIES)).withColumn("at", W.first_peak()).withColumn("_d", F.col("v") - F.lag("v").over(W.ORDERED))
+    rows = W.indexed(filled).withColumn("peak", F.max("v").over(W.series())).withColumn("at", W.first_peak()).withColumn("_d", F.col("v") - F.lag("v").over(W.ordered()))
     facts = rows.groupBy("series_id").agg(F.count_if(F.col("v").isNull()).alias("holes"), F.max("at").alias("at"), F.avg(F.when((F.col("i") <= F.col("at")) & (F.col("i") > 0), (F.col("_d") >= 0).cast("double"))).alias("up"), F.count_if("filled").alias("n_filled"))
     whole = rows.join(facts.where(F.col("holes") == 0).select("series_id"), "series_id", "left_semi").select("series_id", "t", "v")
     fall = W.structural_declines(whole, disruptions, drop, decline_rows).select("series_id", F.lit(True).alias("falls"))

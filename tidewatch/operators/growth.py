@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.windows import SERIES, as_of, crossing, first_peak, indexed
+from tidewatch.operators.windows import as_of, crossing, first_peak, indexed, series
 
 
 def geometric_growth(df: DataFrame, base: float = 0.10, shortest: float = 2.0) -> DataFrame:
     """Compound growth to the peak, percent a step of t, from the crossing of base * peak, or from the first row if that is over it already."""
-    rows = indexed(df).withColumn("_at", first_peak()).withColumn("_peak", F.max("v").over(SERIES))
+    rows = indexed(df).withColumn("_at", first_peak()).withColumn("_peak", F.max("v").over(series()))
     ends = rows.groupBy("series_id").agg(F.min_by("t", "i").alias("t_first"), F.min_by("v", "i").alias("v_first"), F.max("_peak").alias("peak"), F.min(F.when(F.col("i") == F.col("_at"), F.col("t"))).alias("t_peak"))
-    hit = crossing(rows.where(F.col("i") <= F.col("_at")).select("series_id", "t", "v"), base * F.max("v").over(SERIES))
+    hit = crossing(rows.where(F.col("i") <= F.col("_at")).select("series_id", "t", "v"), base * F.max("v").over(series()))
     joined = ends.join(hit, "series_id", "left")
     early = F.col("v_first") >= base * F.col("peak")
     start = F.when(early, F.col("t_first").cast("double")).otherwise(F.coalesce("t_cross", F.col("t_peak").cast("double")))
@@ -23,7 +23,7 @@ def geometric_growth(df: DataFrame, base: float = 0.10, shortest: float = 2.0) -
 
 def peak_growth(df: DataFrame, width: int = 3, floor: float = 0.10, shortest: int = 2) -> DataFrame:
     """Fastest compound growth over windows of up to `width` steps that begin above floor of the range; null if none does."""
-    low, high = F.min("v").over(SERIES), F.max("v").over(SERIES)
+    low, high = F.min("v").over(series()), F.max("v").over(series())
     rows = as_of(df, width).withColumn("_low", low).withColumn("_high", high)
     span = F.col("t") - F.col("t0")
     ok = (span >= shortest) & (F.col("v0") >= F.col("_low") + floor * (F.col("_high") - F.col("_low"))) & (F.col("v0") > 0) & (F.col("_high") > F.col("_low"))
@@ -33,7 +33,7 @@ def peak_growth(df: DataFrame, width: int = 3, floor: float = 0.10, shortest: in
 
 def diffusion_time(df: DataFrame, low: float = 0.10, high: float = 0.90, shortest: float = 2.0) -> DataFrame:
     """Steps of t between the interpolated crossings of low and high of the range, `shortest` at least; the last t where one isn't crossed."""
-    least, span = F.min("v").over(SERIES), F.max("v").over(SERIES) - F.min("v").over(SERIES)
+    least, span = F.min("v").over(series()), F.max("v").over(series()) - F.min("v").over(series())
     end = df.groupBy("series_id").agg(F.max("t").cast("double").alias("_end"))
     a, b = (crossing(df, least + part * span).withColumnRenamed("t_cross", name) for part, name in ((low, "_a"), (high, "_b")))
     both = end.join(a, "series_id", "left").join(b, "series_id", "left")

@@ -2,41 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import correlation
 
-SERIES = Window.partitionBy("series_id")
-ORDERED = SERIES.orderBy("t")
-UPTO = ORDERED.rowsBetween(Window.unboundedPreceding, 0)
+
+def series() -> WindowSpec:
+    return Window.partitionBy("series_id")
+
+
+def ordered() -> WindowSpec:
+    return series().orderBy("t")
+
+
+def upto() -> WindowSpec:
+    return ordered().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def indexed(df: DataFrame) -> DataFrame:
     """Add i (place from 0) and n (rows of the series)."""
-    return df.withColumn("i", (F.row_number().over(ORDERED) - 1).cast("int")).withColumn("n", F.count(F.lit(1)).over(SERIES).cast("int"))
+    return df.withColumn("i", (F.row_number().over(ordered()) - 1).cast("int")).withColumn("n", F.count(F.lit(1)).over(series()).cast("int"))
 
 
 def first_peak(value: str = "v", place: str = "i") -> Column:
     """Place of the first greatest value of the series."""
-    return F.max_by(place, F.struct(F.col(value), -F.col(place))).over(SERIES)
+    return F.max_by(place, F.struct(F.col(value), -F.col(place))).over(series())
 
 
 def minmax(df: DataFrame, eps: float | None = None) -> DataFrame:
     """x = (v - min) / (max - min); 0 in a flat series, or with eps: over (max - min + eps)."""
-    low, high = F.min("v").over(SERIES), F.max("v").over(SERIES)
+    low, high = F.min("v").over(series()), F.max("v").over(series())
     x = (F.col("v") - low) / (high - low + eps) if eps is not None else F.when(high - low < 1e-10, 0.0).otherwise(F.try_divide(F.col("v") - low, high - low))
     return df.withColumn("x", x)
 
 
 def maxnorm(df: DataFrame) -> DataFrame:
-    return df.withColumn("x", F.try_divide(F.col("v"), F.max("v").over(SERIES)))
+    return df.withColumn("x", F.try_divide(F.col("v"), F.max("v").over(series())))
 
 
 def zscore(df: DataFrame, eps: float = 0.0) -> DataFrame:
     """(v - mean) / (population sd + eps); with eps 0 a series without spread divides by 1."""
-    sd = F.stddev_pop("v").over(SERIES)
-    return df.withColumn("x", (F.col("v") - F.avg("v").over(SERIES)) / (sd + eps if eps else F.when(sd == 0, 1.0).otherwise(sd)))
+    sd = F.stddev_pop("v").over(series())
+    return df.withColumn("x", (F.col("v") - F.avg("v").over(series())) / (sd + eps if eps else F.when(sd == 0, 1.0).otherwise(sd)))
 
 
 def winsorise(df: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -47,14 +55,14 @@ def winsorise(df: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame
 def trim_ends(df: DataFrame) -> DataFrame:
     """Rows from the first to the last non-null value."""
     known = F.when(F.col("v").isNotNull(), F.col("t"))
-    return df.withColumn("_a", F.min(known).over(SERIES)).withColumn("_b", F.max(known).over(SERIES)).where(F.col("t").between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    return df.withColumn("_a", F.min(known).over(series())).withColumn("_b", F.max(known).over(series())).where(F.col("t").between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
 def fill_gaps(df: DataFrame, longest: int = 5) -> DataFrame:
     """Linear values in inner gaps of up to `longest` rows; adds filled (boolean). Longer gaps stay null."""
     rows = indexed(df)
     known = F.when(F.col("v").isNotNull(), F.col("i"))
-    behind, ahead = ORDERED.rowsBetween(Window.unboundedPreceding, 0), ORDERED.rowsBetween(0, Window.unboundedFollowing)
+    behind, ahead = ordered().rowsBetween(Window.unboundedPreceding, 0), ordered().rowsBetween(0, Window.unboundedFollowing)
     rows = rows.select("*", F.max(known).over(behind).alias("_a"), F.min(known).over(ahead).alias("_b"), F.last("v", True).over(behind).alias("_va"), F.first("v", True).over(ahead).alias("_vb"))
     inside = F.col("v").isNull() & F.col("_a").isNotNull() & F.col("_b").isNotNull() & (F.col("_b") - F.col("_a") - 1 <= longest)
     line = F.col("_va") + (F.col("_vb") - F.col("_va")) * F.try_divide(F.col("i") - F.col("_a"), F.col("_b") - F.col("_a"))
@@ -63,18 +71,18 @@ def fill_gaps(df: DataFrame, longest: int = 5) -> DataFrame:
 
 def onset_trim(df: DataFrame, start_max: float | None = 0.10, onset: float = 0.02, back: int = 2) -> DataFrame:
     """Drop series that start above start_max of their maximum, and rows more than `back` before the first value over `onset` of it."""
-    rows = indexed(df.where(F.col("v").isNotNull())).withColumn("_max", F.max("v").over(SERIES)).where((F.col("n") >= 3) & (F.col("_max") > 0))
+    rows = indexed(df.where(F.col("v").isNotNull())).withColumn("_max", F.max("v").over(series())).where((F.col("n") >= 3) & (F.col("_max") > 0))
     if start_max is not None:
-        rows = rows.withColumn("_first", F.min_by("v", "i").over(SERIES)).where(F.col("_first") <= start_max * F.col("_max"))
-    at = F.min(F.when(F.col("v") > onset * F.col("_max"), F.col("i"))).over(SERIES)
+        rows = rows.withColumn("_first", F.min_by("v", "i").over(series())).where(F.col("_first") <= start_max * F.col("_max"))
+    at = F.min(F.when(F.col("v") > onset * F.col("_max"), F.col("i"))).over(series())
     return rows.withColumn("_at", at).where(F.col("i") >= F.col("_at") - back).select("series_id", "t", "v")
 
 
 def truncate_decline(df: DataFrame, keep: float = 0.90) -> DataFrame:
     """Where a series ends under keep * peak: only its rows up to the first one after the peak that is under keep * peak."""
-    rows = indexed(df).withColumn("_peak", F.max("v").over(SERIES)).withColumn("_at", first_peak())
-    rows = rows.withColumn("_last", F.max_by("v", "i").over(SERIES))
-    cut = F.min(F.when((F.col("i") > F.col("_at")) & (F.col("v") < keep * F.col("_peak")), F.col("i"))).over(SERIES)
+    rows = indexed(df).withColumn("_peak", F.max("v").over(series())).withColumn("_at", first_peak())
+    rows = rows.withColumn("_last", F.max_by("v", "i").over(series()))
+    cut = F.min(F.when((F.col("i") > F.col("_at")) & (F.col("v") < keep * F.col("_peak")), F.col("i"))).over(series())
     rows = rows.withColumn("_cut", F.when((F.col("_last") < keep * F.col("_peak")) & (F.col("_at") < F.col("n") - 1), cut))
     return rows.where(F.col("_cut").isNull() | (F.col("i") < F.col("_cut"))).select("series_id", "t", "v")
 
@@ -88,7 +96,7 @@ def runs(df: DataFrame, flag: Column) -> DataFrame:
 
 def saturation_runs(df: DataFrame, band: float = 0.05, least: int = 3) -> DataFrame:
     """The first run, at or after the peak, of `least` rows or more within band * |peak| of the peak."""
-    rows = indexed(df).withColumn("_peak", F.max("v").over(SERIES)).withColumn("_at", first_peak()).where(F.col("i") >= F.col("_at")).select("series_id", "t", "v", "_peak")
+    rows = indexed(df).withColumn("_peak", F.max("v").over(series())).withColumn("_at", first_peak()).where(F.col("i") >= F.col("_at")).select("series_id", "t", "v", "_peak")
     found = runs(rows, F.abs(F.col("v") - F.col("_peak")) <= band * (F.abs("_peak") + 1e-10)).where(F.col("n") >= least)
     first = Window.partitionBy("series_id").orderBy("first_i")
     return found.withColumn("_r", F.row_number().over(first)).where(F.col("_r") == 1).drop("_r")
@@ -96,9 +104,9 @@ def saturation_runs(df: DataFrame, band: float = 0.05, least: int = 3) -> DataFr
 
 def structural_declines(df: DataFrame, windows: DataFrame, drop: float = 0.15, least: int = 5) -> DataFrame:
     """Series with `least` successive rows, at or after the peak, more than drop * |peak| below it, whose span of t overlaps none of windows (ws, we): series_id, t_start, t_end of the first."""
-    rows = indexed(df).withColumn("_peak", F.max("v").over(SERIES)).withColumn("_at", first_peak()).where(F.col("i") >= F.col("_at"))
+    rows = indexed(df).withColumn("_peak", F.max("v").over(series())).withColumn("_at", first_peak()).where(F.col("i") >= F.col("_at"))
     below = ((F.col("_peak") - F.col("v")) / (F.abs("_peak") + 1e-10) > drop).cast("int")
-    ahead = ORDERED.rowsBetween(0, least - 1)
+    ahead = ordered().rowsBetween(0, least - 1)
     spans = rows.withColumn("_b", below).select("series_id", F.col("t").alias("t_start"), F.max("t").over(ahead).alias("t_end"), F.min("_b").over(ahead).alias("_all"), F.count(F.lit(1)).over(ahead).alias("_n")).where((F.col("_all") == 1) & (F.col("_n") == least))
     outside = spans.join(F.broadcast(windows), (F.col("t_start") <= F.col("we")) & (F.col("t_end") >= F.col("ws")), "left_anti")
     return outside.groupBy("series_id").agg(F.min(F.struct("t_start", "t_end")).alias("s")).select("series_id", "s.t_start", "s.t_end")
@@ -109,7 +117,7 @@ def crossing(df: DataFrame, level: Column, upto: Column | None = None, from_row:
 
     level: over the columns of df, constant within a series. upto: a condition on rows that may be hit.
     """
-    rows = indexed(df).withColumn("_level", level).withColumn("_v", F.lag("v").over(ORDERED)).withColumn("_t", F.lag("t").over(ORDERED))
+    rows = indexed(df).withColumn("_level", level).withColumn("_v", F.lag("v").over(ordered())).withColumn("_t", F.lag("t").over(ordered()))
     hit = (F.col("i") >= from_row) & (F.col("v") >= F.col("_level"))
     rows = rows.where(hit if upto is None else hit & upto)
     first = rows.groupBy("series_id").agg(F.min_by(F.struct("t", "v", "_t", "_v", "_level"), "i").alias("h")).select("series_id", "h.*")
@@ -119,24 +127,24 @@ def crossing(df: DataFrame, level: Column, upto: Column | None = None, from_row:
 
 def difference(df: DataFrame) -> DataFrame:
     """d = v less the value before; 0 in the first row."""
-    return df.withColumn("d", F.col("v") - F.lag("v", 1).over(ORDERED)).withColumn("d", F.coalesce("d", F.lit(0.0)))
+    return df.withColumn("d", F.col("v") - F.lag("v", 1).over(ordered())).withColumn("d", F.coalesce("d", F.lit(0.0)))
 
 
 def gradient(df: DataFrame, value: str = "v") -> DataFrame:
     """dx: half the difference of the neighbours in an evenly spaced series; one-sided at the ends."""
-    ahead, behind = F.lead(value).over(ORDERED), F.lag(value).over(ORDERED)
+    ahead, behind = F.lead(value).over(ordered()), F.lag(value).over(ordered())
     return df.withColumn("dx", F.when(ahead.isNull(), F.col(value) - behind).when(behind.isNull(), ahead - F.col(value)).otherwise((ahead - behind) / 2))
 
 
 def sign_changes(df: DataFrame) -> DataFrame:
     """Changes of the gradient's sign in each series, and their share."""
-    rows = gradient(df).withColumn("_s", F.signum("dx")).withColumn("_p", F.lag("_s").over(ORDERED))
+    rows = gradient(df).withColumn("_s", F.signum("dx")).withColumn("_p", F.lag("_s").over(ordered()))
     n = F.count_if(F.col("_p").isNotNull() & (F.col("_s") != F.col("_p")))
     return rows.groupBy("series_id").agg(n.alias("n_changes"), (n / F.greatest(F.count(F.lit(1)) - 1, F.lit(1))).alias("rate"))
 
 
 def running_max(df: DataFrame) -> DataFrame:
-    return df.withColumn("m", F.max("v").over(UPTO))
+    return df.withColumn("m", F.max("v").over(upto()))
 
 
 def rolling(df: DataFrame, width: int, value: str = "v", least_sd: float = 1e-10) -> DataFrame:
@@ -144,8 +152,8 @@ def rolling(df: DataFrame, width: int, value: str = "v", least_sd: float = 1e-10
 
     Only full windows whose population sd is `least_sd` or more are kept. pos = i / (n - 1).
     """
-    full, pairs = ORDERED.rowsBetween(1 - width, 0), ORDERED.rowsBetween(2 - width, 0)
-    rows = indexed(df).withColumn("_lag", F.lag(value).over(ORDERED))
+    full, pairs = ordered().rowsBetween(1 - width, 0), ordered().rowsBetween(2 - width, 0)
+    rows = indexed(df).withColumn("_lag", F.lag(value).over(ordered()))
     rows = rows.select("*", F.var_pop(value).over(full).alias("var"), F.stddev_pop(value).over(full).alias("sd"), correlation(F.col("_lag"), F.col(value), 0.0, pairs).alias("ac1"))
     return rows.where((F.col("i") >= width - 1) & (F.col("sd") >= least_sd)).select("series_id", "t", "i", "n", F.try_divide(F.col("i"), F.col("n") - 1).alias("pos"), "var", "sd", "ac1")
 
@@ -182,7 +190,7 @@ def band(df: DataFrame, by: list[str], value: str = "y", least: int = 3) -> Data
 
 def as_of(df: DataFrame, back: int) -> DataFrame:
     """For each row the first one with t at or after this row's t - back: t0, v0."""
-    w = ORDERED.rangeBetween(-back, 0)
+    w = ordered().rangeBetween(-back, 0)
     return df.select("series_id", "t", "v", F.first("t").over(w).alias("t0"), F.first("v").over(w).alias("v0"))
 
 

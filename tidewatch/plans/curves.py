@@ -105,7 +105,7 @@ def truncate_decline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("saturation_runs", f"WITH {S1}, {indexed('s1')}, f AS (SELECT series_id, t, v, i - pk AS i, abs(v - peak) <= 0.05 * (abs(peak) + 1e-10) AS f FROM r WHERE i >= pk - 6), g AS (SELECT series_id, min(i) AS first_i, count(*) AS n, min(t) AS t_start, max(t) AS t_end FROM (SELECT *, i - row_number() OVER (PARTITION BY series_id, f ORDER BY t) AS k FROM f) WHERE f GROUP BY series_id, k) SELECT series_id, CAST(n AS BIGINT) AS n, t_start, t_end FROM g WHERE n >= 3")
 def saturation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of three rows or more within 5 % of the peak, from six rows before it on."""
-    rows = W.indexed(S.segment_orders(spark, sf_dir)).withColumn("peak", F.max("v").over(W.SERIES)).withColumn("at", W.first_peak()).where(F.col("i") >= F.col("at") - 6).select("series_id", "t", "v", "peak")
+    rows = W.indexed(S.segment_orders(spark, sf_dir)).withColumn("peak", F.max("v").over(W.series())).withColumn("at", W.first_peak()).where(F.col("i") >= F.col("at") - 6).select("series_id", "t", "v", "peak")
     return W.runs(rows, F.abs(F.col("v") - F.col("peak")) <= 0.05 * (F.abs("peak") + 1e-10)).where(F.col("n") >= 3).select("series_id", "n", "t_start", "t_end")
 
 
@@ -136,7 +136,7 @@ def diffusion_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("first_crossing_interp", f"WITH {S1}, {indexed('s1')}, m AS (SELECT series_id, min(v) AS lo FROM s1 GROUP BY 1), {_cross(0.5, 'a')} SELECT series_id, round(CAST(tc AS DOUBLE), 6) AS t_cross FROM a")
 def first_crossing_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low, high = F.min("v").over(W.SERIES), F.max("v").over(W.SERIES)
+    low, high = F.min("v").over(W.series()), F.max("v").over(W.series())
     return rounded(W.crossing(S.segment_orders(spark, sf_dir), low + 0.5 * (high - low)), ["t_cross"])
 
 
@@ -206,7 +206,7 @@ def rolling_var_ac1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("rolling_diff_sd", f"WITH {_ROLL} SELECT series_id, t, round(dsd, 5) AS sd FROM q WHERE i >= 10")
 def rolling_diff_sd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rolling sd of first differences."""
-    steps = W.difference(S.event_days(spark, sf_dir)).withColumn("_i", F.row_number().over(W.ORDERED)).where(F.col("_i") > 1).select("series_id", "t", F.col("d").alias("v"))
+    steps = W.difference(S.event_days(spark, sf_dir)).withColumn("_i", F.row_number().over(W.ordered())).where(F.col("_i") > 1).select("series_id", "t", F.col("d").alias("v"))
     return W.rolling(steps, 10).select("series_id", "t", F.round("sd", 5).alias("sd"))
 
 
