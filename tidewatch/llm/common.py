@@ -58,6 +58,11 @@ def without(df: DataFrame, ids: DataFrame, id_col: str, most: int = 500_000) ->
     return df.join(F.broadcast(ids) if ids.count() <= most else ids, id_col, "left_anti")
 
 
+def text_batches(df: DataFrame, rows: int = 2000) -> None:
+    """Hand rows with whole texts to Python in batches of `rows` at most from now on, so that workers stay small."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import sampled, slices
+from tidewatch.llm.common import sampled, slices, text_batches
 
 BITS = 16
 _LETTER = re.compile(r"[^\W\d_]")
@@ -124,6 +124,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     `languages` is the set that the penalised likelihood selects, `proportions` goes with it. A null text and one without letters
     give `und`, 0.0 and empty lists; so does a model without languages.
     """
+    text_batches(docs)
     names, table = model
     shared = docs.sparkSession.sparkContext.broadcast(table)
     schema = docs.select(F.col(id_col)).schema.add("lang_pred", "string").add("score", "double").add("languages", T.ArrayType(T.StringType())).add("proportions", T.ArrayType(T.DoubleType()))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import cut, is_empty, mix, only, slices, word_table
+from tidewatch.llm.common import cut, is_empty, mix, only, slices, text_batches, word_table
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,6 +113,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null texts count as empty. Ids are taken as distinct; rows of one id and one text count once, and null ids are left out. An
     empty table gives no rows.
     """
+    text_batches(docs)
     rng = np.random.default_rng(seed)
     seeds = rng.integers(1, 1 << 63, sketches, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     kind = docs.schema[id_col].dataType

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut, number_within, slices
+from tidewatch.llm.common import cut, number_within, slices, text_batches
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -51,6 +51,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     path: the vocabulary file, which each executor reads. Returns id_col, start (the document's ids before the piece), length,
     ids (little-endian unsigned 32-bit), doc_tokens (with end_id). Null text counts as empty and gives the one id end_id.
     """
+    text_batches(docs)
     schema = docs.select(F.col(id_col)).schema.add("start", "long").add("length", "long").add("ids", "binary").add("doc_tokens", "long")
     kind = pa.int64() if docs.schema[id_col].dataType.simpleString() == "bigint" else None
     tail = np.array([end_id], "<u4").tobytes()

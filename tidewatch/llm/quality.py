@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import mix, sampled, slices, word_table
+from tidewatch.llm.common import mix, sampled, slices, text_batches, word_table
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -149,6 +149,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, text_col
     kept = docs.drop(name)
     if model is None:
         return kept.withColumn(name, F.lit(0.5))
+    text_batches(docs)
     weights, move = model
     schema = T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())])
     column = kept.columns.index(text_col)
