@@ -9,6 +9,8 @@ from tidewatch.llm.common import cut, held
 
 #: Fixed value: what parts words. A-Z are lower-cased first.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same in a text that isn't lower-cased.
+CASED_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -95,7 +97,7 @@ def drop_and_cut(docs: DataFrame, found: DataFrame, items: int = 2, id_col: str
     hits = cut(found.where(F.size("spans") > 0).select(F.col(id_col).alias("_id"), "spans", (F.size("item_ids") >= items).alias("_drop")))
     n = hits.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
     joined = docs.join(F.broadcast(hits) if n <= broadcast_words else hits, F.col(id_col) == F.col("_id"), "left").where(~F.coalesce("_drop", F.lit(False)))
-    part, word = BETWEEN[:-1], "[^" + BETWEEN[1:-1]
+    part, word = CASED_BETWEEN, "[^" + CASED_BETWEEN[1:]
     words = F.regexp_extract_all(F.col(text_col), F.lit(f"({word}+{part}*)"), F.lit(1))
     kept = joined.withColumn("_words", F.when(F.col("spans").isNotNull(), words))
     rest = F.expr("filter(transform(_words, (x, i) -> CASE WHEN NOT exists(spans, s -> i >= s.first AND i < s.first + s.m) THEN x END), x -> x IS NOT NULL)")
