@@ -274,7 +274,8 @@ def test_mined_rules_match_brute_force(spark):
 # --- passages ----------------------------------------------------------------------------------------------------
 
 
-def test_every_long_exact_repeat_is_found(spark):
+@pytest.mark.parametrize("hot", [{}, {"hot_sample": 1, "hot_count": 3, "hot_parts": 3}])
+def test_every_long_exact_repeat_is_found(spark, hot):
     rng = random.Random(6)
     passage = [sentence(rng, n, 5000) for n in (50, 60, 120, 30)]
     texts = [*ODD]
@@ -285,7 +286,7 @@ def test_every_long_exact_repeat_is_found(spark):
         if i % 5 == 0:
             t.insert(0, passage[(i + 1) % 4])
         texts.append(". ".join([*t, sentence(rng, 20, 5000)]))
-    out = substring.passages(docs(spark, texts, True)).collect()
+    out = substring.passages(docs(spark, texts, True), **hot).collect()
     covered = collections.defaultdict(set)
     for r in out:
         covered[r["doc_id"]] |= set(range(r["first"], r["end"]))
