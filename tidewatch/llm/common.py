@@ -121,7 +121,7 @@ def word_table(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     i = 0
     while i < len(first):  # blocks of whole words, so that the powers stay few
         low = first[i]
-        j = max(i + 1, int(np.searchsorted(first, low + (1 << 21))))
+        j = max(i + 1, int(np.searchsorted(first, low + (1 << 17))))
         n = int(end[j - 1] - low)
         powers, inverse = _upto(n)
         values = (buf[low : low + n].astype(np.uint64) + np.uint64(1)) * inside[low : low + n]

@@ -132,7 +132,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for low, high in slices(texts, 1_500_000):
+            for low, high in slices(texts, 600_000):
                 part = [t or "" for t in texts[low:high]]
                 lettered = [bool(names) and _LETTER.search(t) is not None for t in part]
                 lang, score, sets, shares = ["und"] * len(part), [0.0] * len(part), [[] for _ in part], [[] for _ in part]

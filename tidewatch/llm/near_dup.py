@@ -47,7 +47,7 @@ def order_minhash(labelled: np.ndarray, seeds: np.ndarray, keep: int) -> np.ndar
     n = len(labelled)
     least = min(keep, n)
     out = np.empty(len(seeds), np.uint64)
-    rows = max(1, 2_000_000 // n)
+    rows = max(1, 400_000 // n)
     for low in range(0, len(seeds), rows):
         v = labelled[None, :] * seeds[low : low + rows, None]
         at = np.sort(np.argpartition(v, least - 1, axis=1)[:, :least], axis=1) if n > least else np.broadcast_to(np.arange(n), v.shape)
@@ -123,7 +123,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for low, high in slices(texts, 1_500_000):
+            for low, high in slices(texts, 600_000):
                 h, _, _, starts, _ = word_table(texts[low:high])
                 labelled, first = shingles(h, starts, k)
                 same, entries = [], []
@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             each = list(row)
             texts = [batch.column(2 + row[x][0])[row[x][1]].as_py() for x in each]
             own = {}
-            for low, high in slices(texts, 1_500_000):
+            for low, high in slices(texts, 600_000):
                 h, _, _, starts, _ = word_table(texts[low:high])
                 labelled, first = shingles(h, starts, k)
                 for i in range(low, high):
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for low, high in slices(texts, 1_500_000):
+            for low, high in slices(texts, 600_000):
                 h, _, _, starts, _ = word_table(texts[low:high])
                 labelled, first = shingles(h, starts, k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(labelled.view(np.int64)))], names=shingle_kind.names)

@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(column).to_pylist()
-            for low, high in slices(texts, 1_500_000):
+            for low, high in slices(texts, 600_000):
                 x, length, first = line_features(texts[low:high])
                 p, _, _ = marginals((x @ weights.astype(np.float32)).astype(float), move, first)
                 w = length + 1
