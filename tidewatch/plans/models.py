@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.operators import curation, curves, ews, learn, scoring, simulate
+from tidewatch.operators import curation, curves, ews, learn, scoring, simulate, skewed
 from tidewatch.plans.series_sql import S1, S4
 from tidewatch.registry import query, table
 from tidewatch.sources import series as S
@@ -214,3 +214,29 @@ def typing_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("finite_series_count", f"WITH {S1} SELECT CAST(count(DISTINCT series_id) AS BIGINT) AS n_series, CAST(count(*) AS BIGINT) AS n_rows FROM s1")
 def finite_series_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.segment_orders(spark, sf_dir).agg(F.countDistinct("series_id").alias("n_series"), F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("skew_t_mixture")
+def skew_t_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _embedded(spark, sf_dir, 3)
+    state, _ = skewed.skew_mixture(rows, 2, rounds=10)
+    return scoring.contingency(skewed.assign_skewed(rows, state), "label", "cluster")
+
+
+@query("bimodality_scan")
+def bimodality_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two modes on the first principal component of two labels, as rows are pruned."""
+    rows = _embedded(spark, sf_dir, 2).where(F.col("label") < 2).select(F.col("x")[0].alias("v"), F.col("vec_id").cast("double").alias("o")).orderBy("o").limit(120)
+    return skewed.bimodality_scan(rows, "v", "o", draws=20)
+
+
+@query("random_convolutions")
+def random_convolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = simulate.benchmark(spark, 10, "logistic", 120)
+    return made.select("series_id", "label", skewed.convolved(F.col("x"), 120, 30).alias("f"))
+
+
+@query("density_ridges")
+def density_ridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _embedded(spark, sf_dir, 2).select("label", F.col("x")[0].alias("v"))
+    return skewed.density(rows, "v", ["label"], [i / 4 for i in range(-24, 25)])
