@@ -92,14 +92,14 @@ def drop_and_cut(docs: DataFrame, found: DataFrame, items: int = 2, id_col: str
     """docs without those in which `items` benchmark items or more occur; texts of the others lose the words in found spans.
 
     found: contamination's result. A word goes with what parts it from the next one. Texts without spans stay as they are. The hits
-    are broadcast if they have `broadcast_words` spans at most.
+    are broadcast if they have `broadcast_words` spans at most. All columns stay.
     """
-    hits = cut(found.where(F.size("spans") > 0).select(F.col(id_col).alias("_id"), "spans", (F.size("item_ids") >= items).alias("_drop")))
-    n = hits.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
+    hits = cut(found.where(F.size("spans") > 0).select(F.col(id_col).alias("_id"), F.col("spans").alias("_spans"), (F.size("item_ids") >= items).alias("_drop")))
+    n = hits.agg(F.coalesce(F.sum(F.size("_spans")), F.lit(0))).first()[0]
     joined = docs.join(F.broadcast(hits) if n <= broadcast_words else hits, F.col(id_col) == F.col("_id"), "left").where(~F.coalesce("_drop", F.lit(False)))
     part, word = CASED_BETWEEN, "[^" + CASED_BETWEEN[1:]
     words = F.regexp_extract_all(F.col(text_col), F.lit(f"({word}+{part}*)"), F.lit(1))
-    kept = joined.withColumn("_words", F.when(F.col("spans").isNotNull(), words))
-    rest = F.expr("filter(transform(_words, (x, i) -> CASE WHEN NOT exists(spans, s -> i >= s.first AND i < s.first + s.m) THEN x END), x -> x IS NOT NULL)")
+    kept = joined.withColumn("_words", F.when(F.col("_spans").isNotNull(), words))
+    rest = F.expr("filter(transform(_words, (x, i) -> CASE WHEN NOT exists(_spans, s -> i >= s.first AND i < s.first + s.m) THEN x END), x -> x IS NOT NULL)")
     clean = F.concat(F.regexp_extract(F.col(text_col), f"^{part}*", 0), F.array_join(rest, ""))
-    return kept.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(clean)).select(*docs.columns)
+    return kept.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(clean)).select(*docs.columns)

@@ -15,6 +15,7 @@ from tidewatch.llm.common import cut, held, sampled
 SPACE = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
@@ -29,8 +30,10 @@ def word_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long) to whole texts; a null text has none of them.
 
     n_repeat_words: words in windows of three words that occur twice or more in the text. Window hashes, with the position in their
-    low bits, are sorted, so that equal windows adjoin; the words of adjoining windows are then compared.
+    low bits, are sorted, so that equal windows adjoin; the words of adjoining windows are then compared. Columns of these names in
+    docs are replaced; its other columns and all of its rows stay.
     """
+    docs = docs.drop(*FEATURES)
     kept = docs.columns
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = docs.select("*", held(F.filter(F.split(text, f"{SPACE}+"), lambda w: w != ""), "_w"))
