@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["curves", "tables", "models"]
+MODULES = ["curves", "tables", "models", "reports"]
 
 
 def load() -> None:
