@@ -274,12 +274,16 @@ def dip(x: np.ndarray) -> float:
 
     def fits(d: float) -> bool:
         top, bottom = low + d, high - d
-        for m in range(len(at)):
-            left = hull(at[: m + 1], top[: m + 1], False)
-            right = hull(at[m:], bottom[m:], True)
-            if (left >= bottom[: m + 1] - 1e-12).all() and (right <= top[m:] + 1e-12).all():
-                return True
-        return False
+
+        def left(m: int) -> bool:
+            return bool((hull(at[: m + 1], top[: m + 1], False) >= bottom[: m + 1] - 1e-12).all())
+
+        # A later mode makes the convex part harder and the concave part easier, so the last one that the former allows decides.
+        a, b = 0, len(at) - 1
+        while a < b:
+            m = (a + b + 1) // 2
+            a, b = (m, b) if left(m) else (a, m - 1)
+        return bool((hull(at[a:], bottom[a:], True) <= top[a:] + 1e-12).all())
 
     a, b = 1 / (2 * n), 0.25
     for _ in range(30):

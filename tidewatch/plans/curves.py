@@ -46,11 +46,11 @@ def share_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.join(whole, ["k", "t"]).select("k", "t", F.round(C.share(F.col("part").cast("double"), F.col("whole").cast("double")), 6).alias("share"))
 
 
-@query("wide_to_long", f"WITH {S1} SELECT series_id, t, v FROM s1 WHERE t BETWEEN 23940 AND 23951")
+@query("wide_to_long", f"WITH {S1} SELECT series_id, t, v FROM s1")
 def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A wide table with a column a month, and back again."""
-    months = list(range(23940, 23952))
-    wide = S.long_to_wide(S.segment_orders(spark, sf_dir).where(F.col("t").isin(months)), months)
+    months = list(range(1990 * 12, 2005 * 12))
+    wide = S.long_to_wide(S.segment_orders(spark, sf_dir), months)
     return S.wide_to_long(wide, ["series_id"], [str(m) for m in months]).where(F.col("v").isNotNull())
 
 

@@ -222,19 +222,19 @@ def davies_bouldin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.davies_bouldin(_vectors(spark, sf_dir), "embedding", "label").select(F.round("db", 6).alias("db"))
 
 
-@query("hopkins", f"WITH {_E}, p AS (SELECT vec_id AS probe, vec_id AS own, j, x AS v FROM x WHERE vec_id < 20 UNION ALL SELECT 100000 + vec_id, NULL, j, x * 1.5 + 0.01 FROM x WHERE vec_id < 20), d AS (SELECT probe, own IS NULL AS made, x.vec_id, sqrt(sum((x - v) * (x - v))) AS d FROM x JOIN p ON p.j = x.j AND (own IS NULL OR own <> x.vec_id) GROUP BY 1, 2, 3), m AS (SELECT probe, made, min(d) AS d FROM d GROUP BY 1, 2) SELECT round(sum(d) FILTER (WHERE made) / sum(d), 6) AS hopkins FROM m")
+_KEY = "(((({k} % 1000003) * 48271 + {k}) % 2147483647))"
+
+
+@query("hopkins", f"WITH {_E}, k AS (SELECT vec_id FROM (SELECT vec_id, row_number() OVER (ORDER BY {_KEY.format(k='vec_id')}, vec_id) AS r FROM embeddings) WHERE r <= 100), p AS (SELECT vec_id AS probe, vec_id AS own, j, x AS v FROM x JOIN k USING (vec_id) UNION ALL SELECT 100000000 + vec_id, NULL, j, x * 1.5 + 0.01 FROM x JOIN k USING (vec_id)), d AS (SELECT probe, own IS NULL AS made, x.vec_id, sqrt(sum((x - v) * (x - v))) AS d FROM x JOIN p ON p.j = x.j AND (own IS NULL OR own <> x.vec_id) GROUP BY 1, 2, 3), m AS (SELECT probe, made, min(d) AS d FROM d GROUP BY 1, 2) SELECT round(sum(d) FILTER (WHERE made) / sum(d), 6) AS hopkins FROM m")
 def hopkins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With fixed probes: twenty rows, and twenty places made from them."""
+    """With a hundred sampled rows, and a hundred places made from them."""
     v = _vectors(spark, sf_dir).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    picked = v.where(F.col("vec_id") < 20)
+    picked = v.orderBy(sampling.order_key(F.col("vec_id")), "vec_id").limit(100)
     real = picked.select(F.col("vec_id").alias("probe"), F.col("embedding").alias("v"), F.col("vec_id").alias("own"))
-    made = picked.select((F.col("vec_id") + 100000).alias("probe"), F.transform("embedding", lambda x: x * 1.5 + 0.01).alias("v"), F.lit(None).cast("long").alias("own"))
+    made = picked.select((F.col("vec_id") + 100_000_000).alias("probe"), F.transform("embedding", lambda x: x * 1.5 + 0.01).alias("v"), F.lit(None).cast("long").alias("own"))
     return scoring.hopkins(v, real.unionByName(made), "embedding", "vec_id").select(F.round("hopkins", 6).alias("hopkins"))
 
 
-_KEY = "(((({k} % 1000003) * 48271 + {k}) % 2147483647))"
-
-
 @query("stratified_split", f"WITH r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {_KEY.format(k='vec_id')}, vec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings) SELECT vec_id, label, CASE WHEN r <= floor(0.7 * n) THEN 'train' WHEN r <= floor(0.7 * n) + floor(0.15 * n) THEN 'validation' ELSE 'test' END AS part FROM r")
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.split(_vectors(spark, sf_dir).select("vec_id", "label"), "label", "vec_id")
