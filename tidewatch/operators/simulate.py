@@ -145,3 +145,136 @@ def scaling_exponent(spark: SparkSession, mus: list[float], x0: float = 1e-3, dt
 
     times = spark.createDataFrame([(float(m),) for m in mus], "mu double").mapInPandas(run, "mu double, time double")
     return times.withColumn("slope", F.regr_slope(F.ln("time"), F.ln("mu")).over(Window.partitionBy()))
+
+
+#: Noise levels of the classes, and of the three regimes in which the drive is observed.
+NOISE_LEVELS = (0.01, 0.02, 0.05, 0.1)
+REGIMES = {"low": (0.01, 0.02), "canonical": NOISE_LEVELS, "marginalised": NOISE_LEVELS}
+STAGES = ("stable", "walk", "walk_gated")
+
+
+def _rises(x: np.ndarray, height: float) -> bool:
+    """Rises by 0.3 of the height, ends at 0.7 to 1.6 of it, and ends high in its own range."""
+    return bool(np.isfinite(x).all() and x[-1] - x[0] >= 0.3 * height and 0.7 * height <= x[-1] <= 1.6 * height and x[-1] - x.min() >= 0.7 * np.ptp(x))
+
+
+def twin(kind: str, stage: str, rng: np.random.Generator) -> np.ndarray | None:
+    """A null that follows a template under the classes' own noise, or None where it fails its gates.
+
+    stable: pulled back to the template at a constant rate, with the height and rate of a transcritical series; walk: noise adds up;
+    walk_gated: a walk that rises as the classes do.
+    """
+    n, t_end = int(rng.integers(15, 80)), rng.uniform(5, 20)
+    shape = K.minmax(TEMPLATES[kind](np.linspace(0, 1, n), rng))
+    dt = t_end / (n - 1)
+    noise = np.array(ar1(rng, n, rng.uniform(0, 0.9))) * rng.choice(NOISE_LEVELS) * dt**0.5
+    if stage == "stable":
+        rate = rng.uniform(0.3, 4)
+        height = rate / rng.uniform(0.8, 2)
+        keep = np.exp(-rate * dt)
+    else:
+        rate, height, keep = 0.0, 1.0, 1.0
+    off = np.zeros(n)
+    for i in range(1, n):
+        off[i] = keep * off[i - 1] + noise[i]
+    x = height * shape + off
+    if stage == "walk":
+        return x if np.ptp(x) >= 0.05 else None
+    if not _rises(x, height):
+        return None
+    return x if stage == "walk_gated" or (np.abs(x[-max(3, int(0.15 * n)) :] - x.max()) <= 0.05 * abs(x.max())).all() else None
+
+
+def multiplicative(rng: np.random.Generator, n: int = 100, sigma: float = 0.1) -> np.ndarray:
+    """A logistic curve with noise that grows with x (1 - x), held within 0 to 1.3."""
+    t = np.linspace(0, 1, n)
+    x = K.logistic(t, rng.uniform(6, 20), rng.uniform(0.3, 0.7))
+    return np.clip(x + sigma * np.sqrt(x * (1 - x) + 1e-3) * ar1(rng, n), 0, 1.3)
+
+
+def _bulk(spark: SparkSession, n: int, tries: int, groups: list[str], make: Callable[[str, np.random.Generator], dict | None], schema: str, seed: int) -> DataFrame:
+    """The first n candidates that `make` accepts in each group, each seeded by its group and number: (name, number, made columns)."""
+    ids = spark.range(len(groups) * n * tries).select((F.col("id") % len(groups)).cast("int").alias("g"), F.floor(F.col("id") / len(groups)).alias("number"))
+    columns = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for g, number in zip(b["g"], b["number"], strict=True):
+                made = make(groups[int(g)], K.random(seed, 977, int(g), int(number)))
+                if made is not None:
+                    out.append((groups[int(g)], int(number), *[made[c] for c in columns]))
+            yield pd.DataFrame(out, columns=["name", "number", *columns])
+
+    made = ids.mapInPandas(run, f"name string, number long, {schema}")
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("number"))
+    return made.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
+
+
+def null_twins(spark: SparkSession, n: int, kind: str = "logistic", stages: tuple[str, ...] = STAGES, points: int = 500, seed: int = 0, tries: int = 12) -> DataFrame:
+    """n nulls of each stage: name, number, x (min-max normalised on `points` places)."""
+
+    def make(stage: str, rng: np.random.Generator) -> dict | None:
+        own = sorted(TEMPLATES)[int(rng.integers(len(TEMPLATES)))] if kind == "mixed" else kind
+        x = twin(own, stage, rng)
+        return None if x is None else {"x": K.resample(K.minmax(x), points).tolist()}
+
+    return _bulk(spark, n, tries, list(stages), make, "x array<double>", seed)
+
+
+def driven(spark: SparkSession, n: int, regime: str = "canonical", seed: int = 0, tries: int = 12) -> DataFrame:
+    """n series of each class with the drive that made them: name (saddle_node, transcritical), number, t, x, mu.
+
+    marginalised: a window of 80 to 100 % of each series, thinned to 10 to 25 observations.
+    """
+
+    def make(name: str, rng: np.random.Generator) -> dict | None:
+        steps, t_end = int(rng.integers(15, 80)), rng.uniform(5, 20)
+        sigma, phi = float(rng.choice(REGIMES[regime])), rng.uniform(0, 0.9)
+        if name == "saddle_node":
+            p = {"mu0": -rng.uniform(0.3, 1), "mu1": rng.uniform(0.5, 2), "a2": 1.0, "a3": -rng.uniform(0.2, 0.5)}
+            mu, x0, height = np.linspace(p["mu0"], p["mu1"], steps), -float(np.sqrt(-p["mu0"])), -p["a2"] / p["a3"]
+        else:
+            p = {"mu": rng.uniform(0.3, 4), "a2": rng.uniform(0.8, 2)}
+            mu, x0, height = np.full(steps, p["mu"]), rng.uniform(0.005, 0.05), p["mu"] / p["a2"]
+        x, t = integrate(DRIFTS[name], x0, p, rng, steps, t_end, sigma, phi), np.linspace(0, t_end, steps)
+        if np.abs(x).max() > 9 or not _rises(x, height):
+            return None
+        if regime == "marginalised":
+            a, b = int(rng.uniform(0, 0.15) * steps), int(rng.uniform(0.8, 1) * steps)
+            if b - a < 10:
+                return None
+            at = np.unique(np.linspace(a, b - 1, min(b - a, int(rng.integers(10, 26)))).astype(int))
+            t, x, mu = t[at], x[at], mu[at]
+            if np.ptp(x) < 0.3 * height:
+                return None
+        return {"t": t.tolist(), "x": x.tolist(), "mu": mu.tolist()}
+
+    return _bulk(spark, n, tries, ["saddle_node", "transcritical"], make, "t array<double>, x array<double>, mu array<double>", seed)
+
+
+#: Names of what a drive tells: its net change, trend, share below zero, three couplings with the state, and its least value.
+DRIVE_FEATURES = ["net_change", "trend", "below_zero", "additive", "multiplicative", "together", "least"]
+
+
+def drive_features(x: np.ndarray, mu: np.ndarray) -> list[float]:
+    """DRIVE_FEATURES of one series; a correlation with a constant side is 0."""
+    x, top = K.minmax(x), np.abs(mu).max() + 1e-12
+    step, state, drive = np.diff(x), x[:-1], mu[:-1]
+
+    def r(a: np.ndarray, b: np.ndarray) -> float:
+        return float(np.corrcoef(a, b)[0, 1]) if a.std() > 1e-12 and b.std() > 1e-12 else 0.0
+
+    return [float((mu[-1] - mu[0]) / top), K.kendall(mu), float((mu < 0).mean()), r(step, drive), r(step, drive * state), r(x, mu), float(mu.min() / top)]
+
+
+def with_drive_features(df: DataFrame) -> DataFrame:
+    """Rows of `driven` as name, number and one vector of drive features."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = b[["name", "number"]].copy()
+            out["f"] = [drive_features(np.asarray(x, float), np.asarray(m, float)) for x, m in zip(b["x"], b["mu"], strict=True)]
+            yield out
+
+    return df.select("name", "number", "x", "mu").mapInPandas(run, "name string, number long, f array<double>")

@@ -140,3 +140,39 @@ def null_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
         mixed = F.count_if(((F.col("label") == 1) & (F.col("guess") == 2)) | ((F.col("label") == 2) & (F.col("guess") == 1)))
         out.append(g.agg(F.avg((F.col("label") == F.col("guess")).cast("double")).alias("accuracy"), mixed.alias("tc_null")).select(F.lit(kind).alias("kind"), "accuracy", "tc_null"))
     return reduce(DataFrame.unionByName, out)
+
+
+@query("null_stages")
+def null_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texture of the three kinds of null twins: mean early correlation, residual share and velocity spread."""
+    rows = simulate.null_twins(spark, 20, "mixed", points=150)
+    return curves.features(rows, "x", ["ac1_early", "residual_var_frac", "velocity_cv"]).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.avg("ac1_early").alias("ac1_early"), F.avg("residual_var_frac").alias("residual"), F.avg("velocity_cv").alias("velocity_cv"))
+
+
+@query("drive_observed")
+def drive_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy, with its 95 % half-width in points, of typing by the observed drive in each regime."""
+    out = []
+    for regime in simulate.REGIMES:
+        f = simulate.with_drive_features(simulate.driven(spark, 30, regime)).withColumn("key", F.concat_ws("-", "name", "number"))
+        g = scoring.nearest_centroid(learn.standardise(f, "f"), "f", "name", "key")
+        p = F.avg((F.col("name") == F.col("guess")).cast("double"))
+        out.append(g.agg(p.alias("accuracy"), F.count(F.lit(1)).alias("n")).select(F.lit(regime).alias("regime"), "n", "accuracy", (196 * F.sqrt(F.col("accuracy") * (1 - F.col("accuracy")) / F.col("n"))).alias("half_width")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("threshold_grid", "WITH e AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS v FROM embeddings WHERE label < 2), g AS (SELECT i, -0.35 + i / 100.0 AS th FROM range(0, 71) AS r(i)), a AS (SELECT i, avg(CASE WHEN (v >= th) = (label = 1) THEN 1.0 ELSE 0.0 END) AS a FROM e, g GROUP BY 1) SELECT round(max(greatest(a, 1 - a)), 6) AS best FROM a")
+def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best accuracy of one threshold on one feature, in either direction."""
+    rows = table(spark, sf_dir, "embeddings").where(F.col("label") < 2).select("label", F.col("embedding")[0].cast("double").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(70))).alias("i"))
+    hit = (F.col("v") >= F.col("i") / 100.0 - 0.35) == (F.col("label") == 1)
+    each = rows.groupBy("i").agg(F.avg(hit.cast("double")).alias("a"))
+    return each.agg(F.round(F.max(F.greatest(F.col("a"), 1 - F.col("a"))), 6).alias("best"))
+
+
+@query("row_sums", "SELECT p_brand, CAST(sum(coalesce(x, 0) + coalesce(y, 0)) FILTER (WHERE x IS NOT NULL OR y IS NOT NULL) AS BIGINT) AS total FROM (SELECT p_brand, CASE WHEN p_size > 25 THEN p_size END AS x, CASE WHEN p_size % 2 = 0 THEN p_size END AS y FROM part) GROUP BY 1")
+def row_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums over columns that leave out nulls; null where all are."""
+    x, y = F.when(F.col("p_size") > 25, F.col("p_size")), F.when(F.col("p_size") % 2 == 0, F.col("p_size"))
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", x.alias("x"), y.alias("y")).unpivot(["p_brand", "p_partkey"], ["x", "y"], "c", "v")
+    return rows.groupBy("p_brand").agg(F.sum("v").cast("long").alias("total"))
