@@ -315,6 +315,25 @@ def test_fuzzy_passage_and_removal(spark):
     assert [x["text"] for x in substring.remove(d, found).orderBy("doc_id").collect()] == [texts[0], "Other start: Other end.", None, "clean"]
 
 
+@pytest.mark.parametrize("hot", [{}, {"hot_sample": 1, "hot_count": 3, "hot_parts": 3}])
+def test_a_passage_twice_in_one_document_is_found_twice(spark, hot):
+    rng = random.Random(11)
+    p = sentence(rng, 80, 50_000)
+    texts, places = [sentence(rng, 20, 50_000) + " " + p], []
+    for times in (2, 3, 2, 1):
+        w, own = sentence(rng, 30, 50_000).split(), set()
+        for _ in range(times):
+            own |= set(range(len(w), len(w) + 80))
+            w += p.split() + sentence(rng, 70, 50_000).split()
+        texts.append(" ".join(w))
+        places.append(own)
+    covered = collections.defaultdict(set)
+    for r in substring.passages(docs(spark, texts), **hot).collect():
+        covered[r["doc_id"]] |= set(range(r["first"], r["end"]))
+        assert r["other"] < r["doc_id"]
+    assert [covered[i] for i in range(len(texts))] == [set(), *places]
+
+
 def test_chains_are_best(spark):
     rng = random.Random(8)
     for _ in range(200):
