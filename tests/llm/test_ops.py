@@ -334,6 +334,28 @@ def test_a_passage_twice_in_one_document_is_found_twice(spark, hot):
     assert [covered[i] for i in range(len(texts))] == [set(), *places]
 
 
+def test_parts_of_a_partly_rewritten_copy_are_found(spark):
+    rng = random.Random(12)
+    fresh = lambda n: sentence(rng, n, 10**6).split()
+    texts, want = [], []
+    # Words that agree and words of each text's own, in turn: a rewritten copy, two passages apart, a passage and a phrase.
+    for agree, own in (([60, 60, 60, 60], 40), ([50, 50], 45), ([50, 9], 45)):
+        a, b, places = fresh(15), fresh(25), set()
+        for n in agree:
+            p = fresh(n)
+            if n >= 50:
+                places |= set(range(len(b), len(b) + n))
+            a += p + fresh(own)
+            b += p + fresh(own)
+        texts += [" ".join(a), " ".join(b)]
+        want += [set(), places]
+    covered = collections.defaultdict(set)
+    for r in substring.passages(docs(spark, texts)).collect():
+        covered[r["doc_id"]] |= set(range(r["first"], r["end"]))
+        assert r["n_same"] >= 0.8 * (r["other_end"] - r["other_first"])
+    assert [covered[i] for i in range(len(texts))] == want
+
+
 def test_chains_are_best(spark):
     rng = random.Random(8)
     for _ in range(200):
