@@ -356,6 +356,28 @@ def test_parts_of_a_partly_rewritten_copy_are_found(spark):
     assert [covered[i] for i in range(len(texts))] == want
 
 
+def test_recall_of_fuzzy_passages(spark):
+    rng = random.Random(13)
+    fresh = lambda n: sentence(rng, n, 10**6).split()
+    texts, want = [], {}
+    for size in (50, 55, 60, 70, 80):
+        for every in (5, 6, 7, 8, 10, 20):
+            for _ in range(6):
+                p = fresh(size)
+                changed = range(rng.randrange(every), size, every) if rng.random() < 0.5 else rng.sample(range(1, size - 1), size // every)
+                q = [f"new{rng.randrange(10**6)}" if i in changed else w for i, w in enumerate(p)]
+                texts += [" ".join(fresh(30) + p + fresh(30)), " ".join(fresh(40) + q + fresh(20))]
+                same = [i for i in range(size) if i not in changed]
+                if same[-1] + 1 - same[0] >= 50 and len(same) >= 0.8 * (same[-1] + 1 - same[0]):
+                    want[len(texts) - 1] = set(range(40 + same[0], 41 + same[-1]))
+    covered = collections.defaultdict(set)
+    for r in substring.passages(docs(spark, texts)).collect():
+        covered[r["doc_id"]] |= set(range(r["first"], r["end"]))
+    found = sum(len(covered[i] & v) >= 0.8 * len(v) for i, v in want.items())
+    print("recall", found, "of", len(want))
+    assert len(want) > 120 and found >= 0.98 * len(want)
+
+
 def test_chains_are_best(spark):
     rng = random.Random(8)
     for _ in range(200):
