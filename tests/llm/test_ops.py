@@ -238,6 +238,23 @@ def test_neighbours_are_those_of_the_whole_order(spark):
         assert got[r[0]] == max(near)[2]
 
 
+def test_copies_are_not_each_others_neighbours(spark):
+    def page(body):
+        return f"<body><div>Site name</div><div>{body}</div><div>All rights reserved</div></body>"
+
+    rows = [(i, f"http://h.example/a/1?v={i}", page("one story")) for i in range(40)]
+    rows += [(40, "http://h.example/b/1", page("other story")), (41, "http://h.example/b/1", page("other story"))]
+    rows += [(50 + i, f"http://copies.example/{i}", page("same")) for i in range(5)]
+    long = " ".join(f"word{i}" for i in range(300))
+    rows += [(60 + i, f"http://near.example/{i}", page(f"{long}</div><div>visit {i}")) for i in range(5)]
+    rows += [(70 + i, f"http://art.example/{i}", "<article><p>text</p><p><a href=x>linked words</a></p></article>") for i in range(3)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    out = {r["page_id"]: r["text"] for r in pages.main_text(d).collect()}
+    assert {out[i] for i in range(40)} == {"one story"} and out[40] == out[41] == "other story"
+    assert {out[50 + i] for i in range(5)} == {"Site name\nsame\nAll rights reserved"}
+    assert all(long in out[60 + i] for i in range(5)) and {out[70 + i] for i in range(3)} == {"text\nlinked words"}
+
+
 # --- URLs --------------------------------------------------------------------------------------------------------
 
 
