@@ -450,6 +450,26 @@ def test_near_duplicates_by_brute_force(spark, full_bucket):
     assert got == {i: root(i) for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("full_bucket", [12, 2])
+def test_near_duplicates_of_short_texts(spark, full_bucket):
+    rng = random.Random(14)
+    texts, pairs = [], 0
+    for size in [*range(8, 15), *range(20, 30)]:
+        for _ in range(6):
+            w = sentence(rng, size, 10**6).split()
+            own = [w, [*w, "more"], ["more", *w], [*w[1:], "last"], ["first", *w, "last"]]
+            texts += [" ".join(x) for x in [w, own[rng.randrange(1, 5)]]]
+    sets = shingle_sets(texts)
+    want = list(range(len(texts)))
+    for i in range(0, len(texts), 2):
+        o = len(sets[i] & sets[i + 1])
+        if o / (len(sets[i]) + len(sets[i + 1]) - o) >= 0.8:
+            want[i + 1] = i
+            pairs += 1
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs(spark, texts), full_bucket=full_bucket).collect()}
+    assert pairs > 50 and [got[i] for i in range(len(texts))] == want
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dup.near_duplicates(docs(spark, ["x"]).limit(0)).count() == 0
     assert {r["class_id"] for r in near_dup.near_duplicates(docs(spark, ["x y z", "x y z", "x y z"])).collect()} == {0}

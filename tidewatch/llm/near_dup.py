@@ -99,11 +99,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, sketches: int = 32, keep: int = 6, full_bucket: int = 12, seed: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, sketches: int = 32, keep: int = 6, full_bucket: int = 12, seed: int = 7, short: int = 20) -> DataFrame:
     """Each document's class of near duplicates: id_col, class_id (the least id of the class), n_copies.
 
     Words are those of word_table, shingles `k` words. Documents of the same words are one text (of texts without words, the equal
-    ones); its least id stands for it. Each text has `sketches` order-MinHash entries of `keep` shingles; texts that share an entry
+    ones); its least id stands for it. Each text of `short` shingles or more has `sketches` order-MinHash entries of `keep` shingles.
+    Fewer shingles can't spare so many, so shorter texts, and those that may be like one, have entries of two. Texts that share an entry
     are candidates, and those aligned with a similarity of `least` or more are linked. Classes are the connected components of the
     links. Buckets of up to `full_bucket` texts give all of their pairs. In a larger one every text is aligned with the bucket's
     leader, the text with most company in all of its buckets. What a larger bucket still holds in two classes or more then goes
@@ -116,6 +117,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text_batches(docs)
     rng = np.random.default_rng(seed)
     seeds = rng.integers(1, 1 << 63, sketches, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    short_seeds = rng.integers(1, 1 << 63, sketches, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("same", T.BinaryType()), T.StructField("entries", T.ArrayType(T.LongType()))])
     texts_of = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -131,7 +133,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     own = labelled[first[i] : first[i + 1]]
                     if len(own):
                         same.append(hashlib.blake2b(h[starts[i] : starts[i + 1]].tobytes(), digest_size=16).digest())
-                        entries.append(order_minhash(own, seeds, keep).view(np.int64))
+                        parts = [order_minhash(own, seeds, keep)] if len(own) >= short else []
+                        if least * len(own) < short:
+                            parts.append(order_minhash(own, short_seeds, min(keep, 2)))
+                        entries.append(np.concatenate(parts).view(np.int64))
                     else:
                         same.append(b"-" + hashlib.blake2b((texts[low + i] or "").encode("utf-8", "surrogatepass"), digest_size=15).digest())
                         entries.append(np.zeros(0, np.int64))
