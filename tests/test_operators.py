@@ -106,3 +106,17 @@ def test_signals_rise_before_a_fold(spark):
     r = ews.signals(df, surrogates=20).first()
     assert r["tau_var"] > 0 and 0.5 < r["t_takeoff"] < 0.95 and 0 <= r["p_ar1_var"] <= 1
     assert ews.detections(df).first()["n"] == n
+
+
+def test_silhouette_takes_all_rows(spark):
+    rng = np.random.default_rng(3)
+    label = rng.integers(0, 3, 3500)
+    v = rng.normal(size=(3500, 3)) + label[:, None] * np.linspace(0.2, 3, 3500)[:, None]
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    mean = np.stack([d[:, label == c].sum(1) / ((label == c).sum() - (label == c).astype(int)) for c in range(3)], 1)
+    a = mean[np.arange(3500), label]
+    mean[np.arange(3500), label] = np.inf
+    want = ((mean.min(1) - a) / np.maximum(a, mean.min(1))).mean()
+    rows = spark.createDataFrame([(i, int(c), x.tolist()) for i, (c, x) in enumerate(zip(label, v, strict=True))], "k long, l int, v array<double>")
+    for block in (8192, 1000):
+        assert abs(scoring.silhouette(rows, "v", "l", "k", block=block).first()[0] - want) < 1e-9

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import permutations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,12 +123,39 @@ def nearest_centroid(df: DataFrame, vector: str, label: str, key: str) -> DataFr
     return rows.select(key, label, near["guess"].alias("guess"))
 
 
-def silhouette(df: DataFrame, vector: str, label: str, key: str, most: int = 3000) -> DataFrame:
-    """One row: the mean Euclidean silhouette over all pairs of a table of at most `most` rows (as a fixed, hash-ordered subset beyond that)."""
-    rows = df.select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(vector).alias("v")).orderBy(F.xxhash64("k")).limit(most)
-    other = rows.select(F.col("k").alias("k2"), F.col("l").alias("l2"), F.col("v").alias("v2"))
-    distance = F.sqrt(F.aggregate(F.zip_with("v", "v2", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x))
-    mean = rows.join(F.broadcast(other), F.col("k") != F.col("k2")).groupBy("k", "l", "l2").agg(F.avg(distance).alias("d"))
+def silhouette(df: DataFrame, vector: str, label: str, key: str, block: int = 8192) -> DataFrame:
+    """One row: the mean Euclidean silhouette over all pairs of rows.
+
+    Rows are dealt into blocks of about `block` by a hash of their key; each pair of blocks is a group, which gives every row's sum of
+    distances to the other block's rows by label. Rows of one key aren't compared; null keys are left out; null vectors have no distance.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(vector).cast("array<double>").alias("v")).where(F.col("k").isNotNull())
+    blocks = max(1, -(-rows.count() // block))
+    own, each = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    mine = rows.select(own.alias("a"), each.alias("b"), F.lit(True).alias("mine"), "*")
+    theirs = rows.select(each.alias("a"), own.alias("b"), F.lit(False).alias("mine"), "*")
+    kinds = dict(rows.dtypes)
+    schema = f"k {kinds['k']}, l {kinds['l']}, l2 {kinds['l']}, s double, n bigint"
+
+    def sums(pair: pd.DataFrame) -> pd.DataFrame:
+        x, y = pair[pair["mine"]], pair[~pair["mine"]]
+        out = [pd.DataFrame({"k": x["k"][:0], "l": x["l"][:0], "l2": y["l"][:0], "s": np.zeros(0), "n": np.zeros(0, np.int64)})]
+        width = max((len(v) for v in pair["v"] if v is not None), default=0)
+        table = lambda vs: np.array([v if v is not None and len(v) == width else np.full(width, np.nan) for v in vs], float).reshape(len(vs), width)
+        q, codes = table(y["v"]), pd.factorize(y["l"], use_na_sentinel=False)
+        for low in range(0, len(x) if len(y) else 0, 256):
+            part = x[low : low + 256]
+            p = table(part["v"])
+            d = np.sqrt(np.maximum((p * p).sum(1)[:, None] + (q * q).sum(1) - 2 * p @ q.T, 0))
+            counts = ~np.isnan(d) & (part["k"].to_numpy()[:, None] != y["k"].to_numpy())
+            d = np.where(counts, d, 0)
+            for code, l2 in enumerate(codes[1]):
+                at = codes[0] == code
+                out.append(pd.DataFrame({"k": part["k"], "l": part["l"], "l2": l2, "s": d[:, at].sum(1), "n": counts[:, at].sum(1)}))
+        return pd.concat(out[1:] or out)
+
+    found = mine.unionByName(theirs).groupBy("a", "b").applyInPandas(sums, schema)
+    mean = found.groupBy("k", "l", "l2").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("d"))
     each = mean.groupBy("k", "l").agg(F.max(F.when(F.col("l") == F.col("l2"), F.col("d"))).alias("a"), F.min(F.when(F.col("l") != F.col("l2"), F.col("d"))).alias("b"))
     s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
     return each.agg(F.avg(s).alias("silhouette"))

@@ -153,7 +153,7 @@ def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, out = _embedded(spark, sf_dir).persist(), None
     for k in range(2, 6):
         c = learn.k_means(rows, k, restarts=2)
-        one = scoring.silhouette(c, "x", "cluster", "vec_id", 500).crossJoin(scoring.calinski_harabasz(c, "x", "cluster")).crossJoin(scoring.davies_bouldin(c, "x", "cluster")).select(F.lit(k).alias("k"), "silhouette", "ch", "db")  # one row each
+        one = scoring.silhouette(c, "x", "cluster", "vec_id").crossJoin(scoring.calinski_harabasz(c, "x", "cluster")).crossJoin(scoring.davies_bouldin(c, "x", "cluster")).select(F.lit(k).alias("k"), "silhouette", "ch", "db")  # one row each
         out = one if out is None else out.unionByName(one)
     return out
 
