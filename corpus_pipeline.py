@@ -41,10 +41,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two length, each a sequence of its own."""
+    """Pieces of power-of-two length, with their ids, each a sequence of its own."""
     from public_tokenizers import path
 
-    return packing.pack(docs, path(packing.VOCABULARY), payload=F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(docs, path(packing.VOCABULARY))
 
 
 STAGES = [("quality", keep_quality), ("near_duplicates", keep_one_of_each), ("passages", cut_passages), ("benchmark", drop_leaks), ("packing", pack)]

@@ -110,6 +110,13 @@ def test_packing_round_trip(spark):
     assert [r["length"] for r in order] == sorted((r["length"] for r in out), reverse=True)
 
 
+def test_the_pipelines_last_stage_returns_ids(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.pack(spark, docs(spark, ODD), SF).collect()
+    assert out and all(len(r["ids"]) == 4 * r["length"] for r in out)
+
+
 def test_binary_lengths():
     for n in range(1, 5000, 7):
         parts = packing.binary_lengths(n, 1024)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import cut, number_within, slices, text_batches
@@ -93,12 +93,10 @@ def sequences(cut_pieces: DataFrame, id_col: str = "doc_id", longest: int = 1024
     return numbered.withColumn("sequence_id", first + F.col("_at")).withColumn("offset", F.lit(0).cast("long")).drop("_at")
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", longest: int = 1024, end_id: int = 0, payload: Column | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", longest: int = 1024, end_id: int = 0) -> DataFrame:
     """Pack documents into sequences of at most `longest` ids without padding.
 
-    payload: what to keep of a piece's ids (default: the ids themselves); a digest keeps the tables narrow. Returns id_col, start,
-    length, doc_tokens, sequence_id, offset and ids (or payload's name). Empty tables give no rows; repeated documents are packed
+    Returns id_col, start, length, ids, doc_tokens, sequence_id and offset. Empty tables give no rows; repeated documents are packed
     once each; other columns are ignored.
     """
-    kept = F.col("ids") if payload is None else payload
-    return sequences(cut(pieces(docs, path, id_col, text_col, longest, end_id).select(id_col, "start", "length", "doc_tokens", kept)), id_col, longest)
+    return sequences(cut(pieces(docs, path, id_col, text_col, longest, end_id)), id_col, longest)

@@ -34,8 +34,8 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
-    out = packing.pack(table_dir(spark, sf_dir, "documents"), path(packing.VOCABULARY), payload=F.crc32("ids").alias("ids_crc32"))
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    out = packing.pack(table_dir(spark, sf_dir, "documents"), path(packing.VOCABULARY))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 OP3_SQL = r"""
