@@ -413,6 +413,65 @@ def test_chains_are_best(spark):
     assert substring.common_length([1, 2, 3, 4], [2, 9, 4, 1]) == 2
 
 
+def test_the_best_chain_by_brute_force():
+    rng = random.Random(18)
+    for _ in range(300):
+        m = rng.randrange(1, 9)
+        x, y, n = [rng.randrange(60) for _ in range(m)], [rng.randrange(60) for _ in range(m)], [rng.randrange(4, 20) for _ in range(m)]
+        inner = [max(1, v - 3) for v in n]
+        best = [0.0] * m
+        for i in sorted(range(m), key=lambda i: x[i]):
+            before = [best[j] - 0.1 * (x[i] - x[j] - n[j] + y[i] - y[j] - n[j]) for j in range(m) if x[j] + inner[j] <= x[i] and y[j] + inner[j] <= y[i]]
+            best[i] = n[i] + max([0.0, *before])
+        c = substring.chains(x, y, n)[0]
+        value = n[c[0]]
+        for a, b in zip(c, c[1:], strict=False):
+            value += n[b] - 0.1 * (x[b] - x[a] - n[a] + y[b] - y[a] - n[a])
+        assert abs(value - max(best)) < 1e-9
+
+
+def test_a_far_strong_chain_hides_no_near_run():
+    # A long run far away, then two that lie close to each other.
+    found = substring.chains([0, 330, 336], [0, 330, 340], [234, 4, 4])
+    assert any({1, 2} <= set(c) for c in found)
+    assert any({1, 2} <= set(c) for c in substring.chains([0, 330, 336], [0, 330, 340], [30, 4, 4]))
+
+
+@pytest.mark.parametrize("shape", [{"bucket_seeds": 50}, {"bucket_seeds": 50, "most_buckets": 4}])
+def test_buckets_change_no_passage(spark, shape):
+    rng = random.Random(19)
+    p = [sentence(rng, 70, 10**6) for _ in range(4)]
+    texts = [sentence(rng, rng.randrange(60), 10**6) + " " + rng.choice(p) + " " + sentence(rng, 20, 10**6) for _ in range(40)] + ODD
+    rows = lambda **x: sorted(substring.passages(docs(spark, texts, True), **x).collect())
+    assert rows() == rows(**shape) and len(rows()) >= 30
+
+
+def test_seeds_link_to_their_last_place_in_a_lesser_text():
+    import pyarrow as pa
+
+    from tidewatch.llm import seeds
+
+    rng = random.Random(20)
+    for ids in ([5, 3, 9, 7], ["b", "a", "d", "c"]):
+        texts = [[rng.randrange(6) for _ in range(rng.randrange(1, 9))] for _ in ids]
+        first = np.cumsum([0, *[len(t) for t in texts]])[:-1]
+        h = np.array([v for t in texts for v in t], np.uint64)
+        rows = seeds.packed(pa.array(ids), first, h, np.arange(len(h)), h.astype(np.int64) % 2, True)
+        got = set()
+        for bucket in (0, 1):
+            own = [(a, b, c) for k, a, b, c in zip(*rows, strict=True) if k == bucket]
+            if own:
+                a, x, b, y = seeds.last_places(*seeds.unpacked(own, True))
+                got |= set(zip(a.to_pylist(), x.tolist(), b.to_pylist(), y.tolist(), strict=True))
+        want = set()
+        for i, t in zip(ids, texts, strict=True):
+            for at, v in enumerate(t):
+                before = [(j, p) for j, u in zip(ids, texts, strict=True) if j < i for p, w in enumerate(u) if w == v]
+                if before:
+                    want.add((i, at, *max(before)))
+        assert got == want
+
+
 # --- near duplicates ---------------------------------------------------------------------------------------------
 
 
