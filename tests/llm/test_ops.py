@@ -486,6 +486,17 @@ def shingle_sets(texts, k=5):
     return out
 
 
+def alike(a, b, least=0.8):
+    """Whether the words that agree, in order, are `least` of all words of two texts."""
+    p, q = words(a), words(b)
+    row = [0] * (len(q) + 1)
+    for x in p:
+        last = 0
+        for j, y in enumerate(q, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1] >= least * (len(p) + len(q) - row[-1]) - 1e-9 if p and q else (a or "") == (b or "")
+
+
 @pytest.mark.parametrize("full_bucket", [12, 2])
 def test_near_duplicates_by_brute_force(spark, full_bucket):
     rng = random.Random(9)
@@ -497,7 +508,6 @@ def test_near_duplicates_by_brute_force(spark, full_bucket):
             for _ in range(rng.randrange(0, 6)):
                 w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
             texts.append(" ".join(w).capitalize() + rng.choice(["", ".", "!"]))
-    sets = shingle_sets(texts)
     parent = list(range(len(texts)))
 
     def root(i):
@@ -507,9 +517,7 @@ def test_near_duplicates_by_brute_force(spark, full_bucket):
 
     for i in range(len(texts)):
         for j in range(i):
-            o = len(sets[i] & sets[j])
-            alike = o / (len(sets[i]) + len(sets[j]) - o) >= 0.8 if sets[i] and sets[j] else (texts[i] or "") == (texts[j] or "")
-            if alike and root(i) != root(j):
+            if root(i) != root(j) and alike(texts[i], texts[j]):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs(spark, texts, True), full_bucket=full_bucket).collect()}
@@ -525,17 +533,56 @@ def test_near_duplicates_of_short_texts(spark, full_bucket):
             w = sentence(rng, size, 10**6).split()
             own = [w, [*w, "more"], ["more", *w], [*w[1:], "last"], ["first", *w, "last"]]
             texts += [" ".join(x) for x in [w, own[rng.randrange(1, 5)]]]
-    sets = shingle_sets(texts)
     want = list(range(len(texts)))
     for i in range(0, len(texts), 2):
-        o = len(sets[i] & sets[i + 1])
-        if o / (len(sets[i]) + len(sets[i + 1]) - o) >= 0.8:
+        if alike(texts[i], texts[i + 1]):
             want[i + 1] = i
             pairs += 1
     got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs(spark, texts), full_bucket=full_bucket).collect()}
     assert pairs > 50 and [got[i] for i in range(len(texts))] == want
 
 
+def test_recall_of_edited_copies(spark):
+    rng = random.Random(15)
+    found, pairs, texts = collections.Counter(), collections.Counter(), []
+    for rate in (0.01, 0.02, 0.03, 0.05, 0.08, 0.1):
+        for size in (40, 100, 300, 900):
+            for _ in range(10):
+                w = sentence(rng, size, 10**6).split()
+                q = list(w)
+                for i in rng.sample(range(size), round(rate * size)):
+                    q[i] = rng.choice([f"e{rng.randrange(10**6)}", "", f"{q[i]} e{rng.randrange(10**6)}"])
+                texts += [" ".join(w), " ".join(q)]
+                pairs[rate] += alike(*texts[-2:])
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs(spark, texts)).collect()}
+    for i in range(0, len(texts), 2):
+        if alike(texts[i], texts[i + 1]):
+            found[[0.01, 0.02, 0.03, 0.05, 0.08, 0.1][i // 80]] += got[i] == got[i + 1]
+        else:
+            assert got[i] != got[i + 1]
+    print("recall", {r: f"{found[r]} of {pairs[r]}" for r in pairs})
+    assert all(found[r] >= 0.9 * pairs[r] for r in pairs) and sum(found.values()) >= 0.97 * sum(pairs.values())
+
+
+def test_banded_alignment_by_brute_force():
+    rng = random.Random(16)
+    for _ in range(300):
+        a = [rng.randrange(5) for _ in range(rng.randrange(1, 14))]
+        b = [rng.randrange(5) for _ in range(rng.randrange(1, 14))]
+        band = rng.randrange(0, 14)
+        row = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                row[i][j] = max(row[i - 1][j], row[i][j - 1], row[i - 1][j - 1] + 1 if x == y and abs(i - j) <= band else 0)
+        got = near_dup.common_words(np.array(a, np.uint64), np.array(b, np.uint64), band)
+        assert row[-1][-1] <= got <= row[-1][-1] if abs(len(a) - len(b)) <= band else got >= row[-1][-1]
+
+
+def test_near_duplicates_of_null_ids(spark):
+    d = spark.createDataFrame([(1, "a b c"), (None, "a b c"), (None, None), (2, "a b c")], "doc_id long, text string")
+    assert sorted((r[0] or 0, r[1] or 0, r[2]) for r in near_dup.near_duplicates(d).collect()) == [(0, 0, 1), (0, 0, 1), (1, 1, 2), (2, 1, 2)]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dup.near_duplicates(docs(spark, ["x"]).limit(0)).count() == 0
     assert {r["class_id"] for r in near_dup.near_duplicates(docs(spark, ["x y z", "x y z", "x y z"])).collect()} == {0}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,31 +57,47 @@ def order_minhash(labelled: np.ndarray, seeds: np.ndarray, keep: int) -> np.ndar
     return mix(out ^ seeds)
 
 
-def similarity(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, least: float) -> float:
-    """Matches / (all shingles of both - matches) of a banded alignment of two texts, or 0.0 if surely under `least`.
-
-    a, b: labelled shingles in ascending order; at_a, at_b: their places in the text. The alignment matches equal labelled shingles in
-    the order of the texts, none further off the diagonal than two texts of that similarity allow.
+def common_words(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Words of a and b that agree in the best alignment of them in which none is matched with one more than `band` places off."""
+    m = min(len(a), len(b))
+    differ = np.flatnonzero(a[:m] != b[:m])
+    if not len(differ):
+        return m
+    head = int(differ[0])
+    m -= head
+    differ = np.flatnonzero(a[::-1][:m] != b[::-1][:m])
+    tail = int(differ[0]) if len(differ) else m
+    p, q = a[head : len(a) - tail].tolist(), b[head : len(b) - tail].tolist()
+    where: dict[int, int] = {}
+    for i, x in enumerate(p):
+        where[x] = where.get(x, 0) | 1 << i
+    # A zero bit i in row j: the alignment of p[: i + 1] and q[: j + 1] is longer than that of p[:i].
+    row = full = (1 << len(p)) - 1
+    near = (1 << 2 * band + 1) - 1
+    for j, x in enumerate(q):
+        same = where.get(x, 0)
+        if same:
+            same &= near << j - band if j >= band else near >> band - j
+            both = row & same
+            row = (row + both | row - both) & full
+    return head + tail + len(p) - row.bit_count()
+
+
+def similarity(a: np.ndarray, sorted_a: np.ndarray, b: np.ndarray, sorted_b: np.ndarray, least: float) -> float:
+    """Words that agree / (words of both - those) in a banded alignment of two texts, or 0.0 if surely under `least`.
+
+    a, b: word hashes in the order of the text; sorted_a, sorted_b: the same, each labelled by its occurrence, in ascending order. The
+    band is as wide as two texts of that similarity need.
     """
     n, m = len(a), len(b)
-    if not n or not m or min(n, m) < least * max(n, m):
-        return 0.0
     need = least * (n + m) / (1 + least) - 1e-9
-    where = np.searchsorted(b, a)
-    same = np.flatnonzero(b[np.minimum(where, m - 1)] == a)
-    if len(same) < need:
+    if min(n, m) < max(need, 1):
         return 0.0
-    i, j = at_a[same], at_b[where[same]]
-    near = np.abs(i - j) <= (n + m) - 2 * need
-    i, j = i[near], j[near]
-    tails: list[int] = []
-    for x in j[np.argsort(i)].tolist():
-        at = bisect_left(tails, x)
-        if at == len(tails):
-            tails.append(x)
-        else:
-            tails[at] = x
-    return len(tails) / (n + m - len(tails))
+    where = np.searchsorted(sorted_b, sorted_a)
+    if np.count_nonzero(sorted_b[np.minimum(where, m - 1)] == sorted_a) < need:
+        return 0.0
+    agree = common_words(a, b, int(n + m - 2 * need))
+    return agree / (n + m - agree) if agree >= need else 0.0
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -99,25 +114,27 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, sketches: int = 32, keep: int = 6, full_bucket: int = 12, seed: int = 7, short: int = 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, sketches: int = 32, keep: int = 3, full_bucket: int = 12, seed: int = 7, short: tuple[int, ...] = (12, 48)) -> DataFrame:
     """Each document's class of near duplicates: id_col, class_id (the least id of the class), n_copies.
 
     Words are those of word_table, shingles `k` words. Documents of the same words are one text (of texts without words, the equal
-    ones); its least id stands for it. Each text of `short` shingles or more has `sketches` order-MinHash entries of `keep` shingles.
-    Fewer shingles can't spare so many, so shorter texts, and those that may be like one, have entries of two. Texts that share an entry
-    are candidates, and those aligned with a similarity of `least` or more are linked. Classes are the connected components of the
+    ones); its least id stands for it. Each text has `sketches` order-MinHash entries of `keep` shingles. Few shingles can't spare so
+    many: texts under the last of `short` shingles have entries of one shingle less, those under the one before of two less, and
+    those that may be like such a text have both kinds. Texts that share an entry are candidates; those whose words, in a banded
+    alignment, agree with a similarity of `least` or more are linked. Two texts whose shingles have that similarity, in order, are
+    always alike enough, as are those with up to a ninth of their words changed. Classes are the connected components of the
     links. Buckets of up to `full_bucket` texts give all of their pairs. In a larger one every text is aligned with the bucket's
     leader, the text with most company in all of its buckets. What a larger bucket still holds in two classes or more then goes
-    through an exact join on rare shingles, which loses no pair, so no bucket is capped; pairs within a class, whose alignment could
+    through a join on rare shingles, which loses no pair whose shingles have a similarity of `least`, so no bucket is capped; pairs within a class, whose alignment could
     change nothing, are never made. n_copies: the documents of the document's text.
 
-    Null texts count as empty. Ids are taken as distinct; rows of one id and one text count once, and null ids are left out. An
+    Null texts count as empty. Ids are taken as distinct; rows of one id and one text count once. Each row with a null id is a class of its own: class_id null, n_copies 1. An
     empty table gives no rows.
     """
     text_batches(docs)
     rng = np.random.default_rng(seed)
-    seeds = rng.integers(1, 1 << 63, sketches, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    short_seeds = rng.integers(1, 1 << 63, sketches, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    kinds = [rng.integers(1, 1 << 63, sketches, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(len(short) + 1)]
+    bounds = [0, *short, float("inf")]
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("same", T.BinaryType()), T.StructField("entries", T.ArrayType(T.LongType()))])
     texts_of = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -133,9 +150,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     own = labelled[first[i] : first[i + 1]]
                     if len(own):
                         same.append(hashlib.blake2b(h[starts[i] : starts[i + 1]].tobytes(), digest_size=16).digest())
-                        parts = [order_minhash(own, seeds, keep)] if len(own) >= short else []
-                        if least * len(own) < short:
-                            parts.append(order_minhash(own, short_seeds, min(keep, 2)))
+                        near = [j for j in range(len(kinds)) if bounds[j] < len(own) / least and least * len(own) < bounds[j + 1]]
+                        parts = [order_minhash(own, kinds[j], max(1, keep - len(short) + j)) for j in near]
                         entries.append(np.concatenate(parts).view(np.int64))
                     else:
                         same.append(b"-" + hashlib.blake2b((texts[low + i] or "").encode("utf-8", "surrogatepass"), digest_size=15).digest())
@@ -162,11 +178,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             own = {}
             for low, high in slices(texts, 600_000):
                 h, _, _, starts, _ = word_table(texts[low:high])
-                labelled, first = shingles(h, starts, k)
+                labelled, _ = shingles(h, starts, 1)
                 for i in range(low, high):
-                    part = labelled[first[i - low] : first[i - low + 1]]
-                    order = np.argsort(part)
-                    own[each[i]] = part[order], order
+                    part = slice(starts[i - low], starts[i - low + 1])
+                    own[each[i]] = h[part], np.sort(labelled[part])
             found = [(x, y, s) for x, y in zip(a, b, strict=True) if (s := similarity(*own[x], *own[y], least)) >= least]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], batch.column(0).type), pa.array([f[1] for f in found], batch.column(1).type), pa.array([f[2] for f in found], pa.float64())], names=pairs_schema.names)
 
@@ -231,4 +246,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         known = members.select("same", "rep", "n_copies").join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("same", F.coalesce("class", "rep").alias("class"), "n_copies")
     ids = sketched.select("id", "same").distinct()
-    return ids.join(known, "same").select(F.col("id").alias(id_col), F.col("class").alias("class_id"), "n_copies")
+    out = ids.join(known, "same").select(F.col("id").alias(id_col), F.col("class").alias("class_id"), "n_copies")
+    nameless = docs.where(F.col(id_col).isNull()).select(F.col(id_col), F.col(id_col).alias("class_id"), F.lit(1).cast("long").alias("n_copies"))
+    return out.unionByName(nameless)
