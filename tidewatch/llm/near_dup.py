@@ -114,7 +114,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, sketches: int = 32, keep: int = 3, full_bucket: int = 12, seed: int = 7, short: tuple[int, ...] = (12, 48)) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, sketches: int = 32, keep: int = 3, full_bucket: int = 12, seed: int = 7, short: tuple[int, ...] = (12, 48), enough: int = 6) -> DataFrame:
     """Each document's class of near duplicates: id_col, class_id (the least id of the class), n_copies.
 
     Words are those of word_table, shingles `k` words. Documents of the same words are one text (of texts without words, the equal
@@ -124,9 +124,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alignment, agree with a similarity of `least` or more are linked. Two texts whose shingles have that similarity, in order, are
     always alike enough, as are those with up to a ninth of their words changed. Classes are the connected components of the
     links. Buckets of up to `full_bucket` texts give all of their pairs. In a larger one every text is aligned with the bucket's
-    leader, the text with most company in all of its buckets. What a larger bucket still holds in two classes or more then goes
-    through a join on rare shingles, which loses no pair whose shingles have a similarity of `least`, so no bucket is capped; pairs within a class, whose alignment could
-    change nothing, are never made. n_copies: the documents of the document's text.
+    leader, the text with most company in all of its buckets. What larger buckets still hold in two classes or more then goes
+    through a join on rare shingles, which loses no pair whose shingles have a similarity of `least`, so no bucket is capped. Two such
+    texts share half of their 32 entries, and fewer than `enough` with a chance of 1 in 10,000; if they share a bucket that isn't a
+    larger one of several classes, they have met. So only texts with `enough` entries in such buckets go there. Pairs within a class,
+    whose alignment could change nothing, are never made. n_copies: the documents of the document's text.
 
     Null texts count as empty. Ids are taken as distinct; rows of one id and one text count once. Each row with a null id is a class of its own: class_id null, n_copies 1. An
     empty table gives no rows.
@@ -225,16 +227,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not is_empty(left):
         small = left.where(F.col("n") <= full_bucket).groupBy("h").agg(F.array_sort(F.collect_set("id")).alias("ids"))
         ends = small.select(F.posexplode("ids").alias("at", "a"), "ids").select("a", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("b"))
-        large = left.where(F.col("n") > full_bucket)
-        lead = large.groupBy("h").agg(F.max(F.struct("weight", F.xxhash64("id"), "id")).alias("m")).select("h", F.col("m.id").alias("head"))
-        led = large.select("h", "id").join(lead, "h").where(F.col("id") != F.col("head"))
+        # A bucket's rows are dealt into parts of about 256, so that no task reads all of a large one.
+        large = left.where(F.col("n") > full_bucket).withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / 256)))
+        each_salt = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / 256) - 1)).alias("salt")
+        lead = large.groupBy("h", "n").agg(F.max(F.struct("weight", F.xxhash64("id"), "id")).alias("m")).select("h", F.col("m.id").alias("head"), each_salt)
+        led = large.select("h", "salt", "id").join(lead, ["h", "salt"]).where(F.col("id") != F.col("head"))
         pairs = cut(ends.unionByName(led.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))).distinct())
         links = verified(pairs)
         classes = components(links)
-        # What is left are full buckets that still hold texts of two classes or more.
-        known = large.select("h", "id").join(classes, "id", "left").withColumn("part", F.coalesce("class", "id"))
-        mixed = known.groupBy("h").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).where(F.col("_a") != F.col("_b")).select("h")
-        rest = cut(known.join(mixed, "h", "left_semi").select("id", "part").distinct())
+        # What is left are full buckets that still hold texts of two classes or more, of texts with `enough` entries in such buckets.
+        rest = large.select("h", "n", "salt", "id").join(classes, "id", "left").withColumn("part", F.coalesce("class", "id"))
+        for _ in range(2):
+            mixed = rest.groupBy("h", "n").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).where(F.col("_a") != F.col("_b")).select("h", each_salt)
+            inside = rest.join(mixed, ["h", "salt"], "left_semi")
+            rest = cut(inside.join(inside.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= enough).select("id"), "id", "left_semi"))
+        rest = cut(rest.select("id", "part").distinct())
         if not is_empty(rest):
             more = cut(prefix_pairs(only(texts_of, rest.select("id")), rest).join(pairs, ["a", "b"], "left_anti"))
             found = verified(more)
