@@ -70,20 +70,43 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "languages", "proportions")
 
 
-@query("op5_html_text")
+#: The article elements of the given pages, whose other parts all stand outside of them. The operator takes more kinds of pages.
+OP5_SQL = r"""
+WITH b AS (SELECT page_id, url, list_filter(list_transform(string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(p|h1)>'),
+  lambda x: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM pages)
+SELECT page_id, url, array_to_string(l, chr(10)) AS text, CAST(length(array_to_string(l, chr(10))) AS BIGINT) AS n_chars, CAST(len(l) AS INTEGER) AS n_lines FROM b
+"""
+
+
+@query("op5_html_text", OP5_SQL)
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.main_text(table_dir(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_removed")
+    return pages.main_text(table_dir(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines")
 
 
 #: The given rules.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
+#: All combinations of each URL's tokens, counted: only a few tokens make that possible.
+OP6_SQL = r"""
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+g AS (SELECT *, CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/' WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/' WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/' WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM p),
+t AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said,
+  list_distinct(list_concat(list_concat(list_transform(list_filter(string_split_regex(host, '[.\-]'), lambda x: x <> ''), lambda x: 'h:' || x), list_transform(list_filter(string_split_regex(lower(path), '[^a-z]+'), lambda x: x <> ''), lambda x: 'p:' || x)), ['s:' || host])) AS tokens FROM g),
+m AS (SELECT said, tokens, unnest(range(1, CAST(1 AS BIGINT) << len(tokens))) AS mask FROM t WHERE said IS NOT NULL),
+a AS (SELECT said, list_sort(list_filter(tokens, lambda x, i: (mask >> (i - 1)) & 1 = 1)) AS ante FROM m),
+c AS (SELECT ante, count(*) AS n, count(*) FILTER (said = 'block') AS n_block FROM a GROUP BY ante),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (said = 'block') AS DOUBLE) AS n_block FROM t WHERE said IS NOT NULL),
+f AS (SELECT ante, CAST(c.n_block AS DOUBLE) / c.n AS sure FROM c, n WHERE c.n_block >= ceil(greatest(CAST(0.002 AS DOUBLE), CAST(20 AS DOUBLE) / n.n) * n.n) AND CAST(c.n_block AS DOUBLE) / c.n >= 0.6 AND CAST(c.n_block AS DOUBLE) / c.n / (n.n_block / n.n) >= 1.2),
+r AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f AS q WHERE len(q.ante) < len(f.ante) AND list_has_all(f.ante, q.ante) AND q.sure >= f.sure)),
+h AS (SELECT rid, max(sure) AS confidence FROM t, r WHERE list_has_all(tokens, ante) GROUP BY rid)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN confidence IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN said IS NULL THEN confidence END AS confidence FROM t LEFT JOIN h USING (rid)
+"""
+
 
-@query("op6_url_filter")
+@query("op6_url_filter", OP6_SQL)
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A page's label is that of the document with its id: low quality or toxic means block.
-    labels = table_dir(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
-    return urls.filter_urls(table_dir(spark, sf_dir, "pages"), URL_RULES, labels)
+    return urls.filter_urls(table_dir(spark, sf_dir, "pages"), URL_RULES)
 
 
 @query("op8_quality")

@@ -39,21 +39,22 @@ def tokens(host_col: str = "host", path_col: str = "path") -> Column:
     return F.array_distinct(F.concat(F.transform(labels, lambda x: F.concat(F.lit("h:"), x)), F.transform(parts, lambda x: F.concat(F.lit("p:"), x)), F.array(F.concat(F.lit("s:"), F.col(host_col)))))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_rows: int = 20) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_rows: int = 20, min_lift: float = 1.2) -> DataFrame:
     """Association rules (antecedent, confidence, support): token combinations whose URLs are labelled to be blocked.
 
     labelled: (tokens, block boolean). Spark's FP-growth finds the combinations, with the label as one more token. A rule needs
-    `min_support` of all labelled URLs, `min_rows` of them at least, and `min_confidence`; a rule is dropped if a rule over a part
+    `min_support` of all labelled URLs, `min_rows` of them at least, and `min_confidence`, and must block `min_lift` times the share
+    of all labelled URLs that are to be blocked; a rule is dropped if a rule over a part
     of its tokens is as confident. An empty input gives no rules.
     """
     schema = "antecedent array<string>, confidence double, support double"
     n = labelled.count()
-    if not n:
+    if n < min_rows or not n:
         return labelled.sparkSession.createDataFrame([], schema)
     items = labelled.select(F.when(F.col("block"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items"))
     # Each row has few distinct tokens, so at most 2^tokens / support combinations are frequent, whatever the number of rows.
     model = FPGrowth(minSupport=max(min_support, min_rows / n), minConfidence=min_confidence).fit(items)
-    found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+    found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK) & (F.col("lift") >= min_lift)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
     smaller = found.select(F.col("antecedent").alias("part"), F.col("confidence").alias("as_sure"), F.explode("antecedent").alias("token"))
     larger = found.withColumn("token", F.explode("antecedent"))
     within = (F.size("part") < F.size("antecedent")) & (F.size(F.array_intersect("part", "antecedent")) == F.size("part")) & (F.col("as_sure") >= F.col("confidence"))
@@ -61,33 +62,51 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     return found.join(idle, "antecedent", "left_anti")
 
 
-def blocked_by(urls: DataFrame, rules: DataFrame, broadcast_rows: int = 10_000) -> DataFrame:
-    """The distinct token lists of `urls` that some rule's tokens are all in: (tokens, confidence of the surest rule).
+def by_rarest(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """Inverted index of the rules, (token, antecedent, confidence): each rule is listed under the one of its tokens that fewest URLs have."""
+    counts = urls.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    keyed = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token")).join(counts, "token", "left")
+    return keyed.groupBy("antecedent", "confidence").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token")).select("token", "antecedent", "confidence")
+
 
-    Each rule is indexed by its rarest token alone; a URL looks up its own tokens there.
+def surest(urls: DataFrame, index: DataFrame, most_rules: int = 2000) -> DataFrame:
+    """urls with confidence, that of the surest rule whose tokens are all among a URL's, or null.
+
+    Up to `most_rules` rules are held in the expression itself, so each row looks its tokens up without a join. More are joined by token
+    with the distinct token lists, which are joined back to the rows.
     """
+    few = index.limit(most_rules + 1).collect()
+    if len(few) <= most_rules:
+        if not few:
+            return urls.withColumn("confidence", F.lit(None).cast("double"))
+        posted: dict[str, list] = {}
+        for r in few:
+            posted.setdefault(r["token"], []).append(F.struct(F.array(*[F.lit(x) for x in r["antecedent"]]).alias("a"), F.lit(float(r["confidence"])).alias("c")))
+        lists = F.array(*[F.struct(F.lit(t).alias("t"), F.array(*rows).alias("r")) for t, rows in sorted(posted.items())])
+        near = F.flatten(F.transform(F.filter(lists, lambda e: F.array_contains(F.col("tokens"), e["t"])), lambda e: e["r"]))
+        fits = F.filter(near, lambda r: F.size(F.array_except(r["a"], F.col("tokens"))) == 0)
+        return urls.withColumn("confidence", F.array_max(F.transform(fits, lambda r: r["c"])))
     lists = urls.select("tokens").distinct()
-    posted = lists.select("tokens", F.explode("tokens").alias("token"))
-    counts = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    keyed = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token")).join(counts, "token", "left")
-    index = keyed.groupBy("antecedent", "confidence").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
-    if rules.count() <= broadcast_rows:
-        index = F.broadcast(index)
-    hit = posted.join(index, "token").where(F.size(F.array_intersect("antecedent", "tokens")) == F.size("antecedent"))
-    return hit.groupBy("tokens").agg(F.max("confidence").alias("confidence"))
+    hit = lists.select("tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
+    return urls.join(hit.groupBy("tokens").agg(F.max("confidence").alias("confidence")), "tokens", "left")
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], labels: DataFrame, id_col: str = "page_id", url_col: str = "url", min_support: float = 0.002, min_confidence: float = 0.6, min_rows: int = 20) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", min_support: float = 0.002, min_confidence: float = 0.6, min_rows: int = 20, most_rules: int = 2000) -> DataFrame:
     """Judge every URL: id_col, host, path, rule, verdict, confidence.
 
-    labels: (id_col, block boolean), for some pages; a null label is left out, and of several labels for an id each counts. Where a
-    fixed rule fits, its verdict holds. Else a URL is blocked if a mined rule fits it, and allowed otherwise. Nulls, URLs without a
+    Where a fixed rule fits, its verdict holds. Else a URL is blocked if a mined rule fits it (confidence: the surest one's), and allowed
+    otherwise. Rules are mined from the URLs that the fixed rules judge, with their verdicts, and, if given, from labels: (id_col, block
+    boolean), for some pages; a null label is left out, and of several labels for an id each counts. Nulls, URLs without a
     host and repeated rows are judged like others; empty tables give no rows.
     """
     known = pages.select(F.col(id_col), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     rule, verdict = matched_rule(rules)
     known = known.select(id_col, "host", "path", rule.alias("rule"), verdict.alias("said"), tokens().alias("tokens"))
-    learned = mine(known.join(labels.select(F.col(id_col), F.col("block")).where(F.col("block").isNotNull()), id_col).select("tokens", "block"), min_support, min_confidence, min_rows)
-    hits = blocked_by(known, learned)
-    judged = known.join(hits, "tokens", "left")
-    return judged.select(id_col, "host", "path", "rule", F.coalesce("said", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")).alias("verdict"), "confidence")
+    told = known.where(F.col("said").isNotNull()).select("tokens", (F.col("said") == "block").alias("block"))
+    if labels is not None:
+        own = known.join(labels.select(F.col(id_col), F.col("block")).where(F.col("block").isNotNull()), id_col)
+        told = told.unionByName(own.select("tokens", "block"))
+    learned = mine(told, min_support, min_confidence, min_rows)
+    judged = surest(known, by_rarest(told, learned), most_rules)
+    confidence = F.when(F.col("said").isNull(), F.col("confidence")).alias("confidence")
+    return judged.select(id_col, "host", "path", "rule", F.coalesce("said", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")).alias("verdict"), confidence)
