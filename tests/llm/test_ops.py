@@ -701,10 +701,32 @@ def test_word_features(spark):
 
 def test_cascade_says_the_same_in_any_order(spark):
     d = docs(spark, [sentence(random.Random(i), i) for i in range(100)])
-    some = [rules.Rule("short", F.length("text") < 50), rules.Rule("even", F.col("doc_id") % 2 == 0), rules.Rule("null", F.lit(None).cast("boolean"))]
-    a, b = ({r["doc_id"]: r["rejected_by"] is None for r in rules.cascade(d, order).collect()} for order in (some, some[::-1]))
+    some = [rules.Rule("short", ("chars",), lambda c: c < 50), rules.Rule("even", ("id",), lambda i: i % 2 == 0), rules.Rule("null", ("none",), lambda x: x)]
+    known = {"chars": F.length("text"), "id": F.col("doc_id"), "none": F.lit(None).cast("boolean")}
+    a, b = ({r["doc_id"]: r["rejected_by"] is None for r in rules.cascade(d, order, known).collect()} for order in (some, some[::-1]))
     assert a == b and {k for k, v in a.items() if v} == {i for i in range(100) if i % 2 and len(sentence(random.Random(i), i)) >= 50}
-    assert rules.cascade(d.limit(0), some).count() == 0
+    assert rules.cascade(d.limit(0), some, known).count() == 0
+
+
+def test_costs_are_those_of_the_raw_text(spark):
+    """A rule that needs a dear feature costs more than one that needs a cheap one, and so comes later though it rejects as many."""
+    d = common.cut(docs(spark, [sentence(random.Random(i), 3000, 60) for i in range(300)]).coalesce(1))
+    raw = rules.raw_features()
+    both = [rules.Rule("a_dear", ("n_repeat_words",), lambda n: n > 10), rules.Rule("b_cheap", ("n_lines",), lambda n: n > 0)]
+    order = rules.cascade_order(d, both, raw)
+    assert [r.name for r, _, _ in order] == ["b_cheap", "a_dear"] and all(share == 1.0 for _, _, share in order)
+    plan = rules.cascade(d, both, raw)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("b_cheap") < plan.index("a_dear")
+
+
+def test_raw_features_agree_with_the_columns(spark):
+    rng = random.Random(22)
+    d = docs(spark, [*ODD, *["".join(rng.choice("ab \n#\t|") for _ in range(rng.randrange(200))) for _ in range(100)]])
+    raw = rules.raw_features()
+    out = rules.word_features(d).select(*[(F.col(f) == raw[f]).alias(f) for f in rules.FEATURES]).collect()
+    assert all(all(r) for r in out)
+    clash = rules.word_features(d.withColumn("w", F.lit(1)).withColumn("_w", F.lit(2)).withColumn("__h", F.lit(3)))
+    assert clash.count() == d.count() and {"w", "_w", "__h"} <= set(clash.columns)
 
 
 # --- queries and pipeline ----------------------------------------------------------------------------------------

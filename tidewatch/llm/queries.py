@@ -143,7 +143,7 @@ FROM g
 @query("op10_quality_rules", OP10_SQL)
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = plain(table_dir(spark, sf_dir, "documents"), "doc_id", "text")
-    judged = rules.cascade(docs, rules.production_rules(), rules.word_features)
+    judged = rules.cascade(docs, rules.production_rules(), rules.raw_features(), ready=rules.FEATURES, prepare=rules.word_features)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
 

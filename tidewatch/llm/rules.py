@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,62 +15,111 @@ from tidewatch.llm.common import cut, held, sampled
 #: The white space that parts words, and the symbols that are counted.
 SPACE = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOL = "[#*$%&|<>]"
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A document is rejected where `rejects` is true; null counts as false."""
+    """A document is rejected where `rejects`, given the columns of the features in `needs`, is true; null counts as false."""
 
     name: str
-    rejects: Column
+    needs: tuple[str, ...]
+    rejects: Callable[..., Column]
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def split_words(text: Column) -> Column:
+    inner = F.btrim(text, F.lit(SPACES))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, f"{SPACE}+"))
+
+
+def word_windows(w: Column) -> Column:
+    """Hashes of all windows of three words."""
+    n = F.size(w)
+    return F.when(n < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
+
+
+def repeated(w: Column, h: Column) -> Column:
+    """Words in windows that occur twice or more, of words w and their windows' hashes h.
+
+    Most texts repeat no window, which a set of the hashes shows. In others the hashes, with the place in their low bits, are sorted, so
+    that equal windows adjoin; the words of adjoining ones are then compared.
+    """
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.size(w)))) - 1
+
+    def places(m: Column) -> Column:
+        keyed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(m)).bitwiseOR(i.cast("long"))))
+
+        def of_sorted(s: Column) -> Column:
+            hash_at = lambda i: F.get(s, i).bitwiseAND(F.bitwise_not(m))
+            place = lambda i: F.get(s, i).bitwiseAND(m).cast("int")
+            near = F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 2, F.lit(0))), lambda i: hash_at(i) == hash_at(i + 1))
+            both = F.transform(near, lambda i: F.struct(place(i).alias("a"), place(i + 1).alias("b")))
+            same = F.filter(both, lambda p: (F.get(w, p["a"]) == F.get(w, p["b"])) & (F.get(w, p["a"] + 1) == F.get(w, p["b"] + 1)) & (F.get(w, p["a"] + 2) == F.get(w, p["b"] + 2)))
+            return let(same, lambda p: F.array_sort(F.array_distinct(F.concat(F.transform(p, lambda x: x["a"]), F.transform(p, lambda x: x["b"])))))
+
+        return let(keyed, of_sorted)
+
+    def covered(r: Column) -> Column:
+        steps = F.transform(r, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(r, i + 1) - p, F.lit(3))))
+        return F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: s + x)
+
+    return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(let(mask, places), covered))
+
+
+def line_repeats(text: Column) -> Column:
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+
+
+def occurrences(text: Column, characters: str) -> Column:
+    """How many characters of the text are of the class `characters`."""
+    return (F.size(F.split(text, characters, -1)) - 1).cast("long")
+
+
+def raw_features(text_col: str = "text") -> dict[str, Column]:
+    """Each feature that a rule may need, from the text alone; a null text counts as empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return {
+        "n_words": F.size(split_words(text)).cast("long"),
+        "word_chars": F.length(F.array_join(split_words(text), "")).cast("long"),
+        "n_symbols": occurrences(text, SYMBOL),
+        "n_dup_lines": line_repeats(text),
+        "n_repeat_words": let(split_words(text), lambda w: let(word_windows(w), lambda h: repeated(w, h))),
+        "n_lines": occurrences(text, "\n") + 1,
+        "n_capitals": occurrences(text, "[A-Z]"),
+        "n_letters": (F.length(text) - F.length(F.regexp_replace(text, "[A-Za-z]+", ""))).cast("long"),
+        "n_shouts": occurrences(text, "!"),
+    }
 
 
 def word_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long) to whole texts; a null text has none of them.
 
-    n_repeat_words: words in windows of three words that occur twice or more in the text. Window hashes, with the position in their
-    low bits, are sorted, so that equal windows adjoin; the words of adjoining windows are then compared. Columns of these names in
-    docs are replaced; its other columns and all of its rows stay.
+    n_repeat_words: words in windows of three words that occur twice or more in the text. Columns of these names in
+    docs are replaced; its other columns, whatever their names, and all of its rows stay.
     """
     docs = docs.drop(*FEATURES)
     kept = docs.columns
+    fresh = "_" * (1 + max((len(c) for c in kept), default=0))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = docs.select("*", held(F.filter(F.split(text, f"{SPACE}+"), lambda w: w != ""), "_w"))
-    hashed = words.select("*", held(F.transform("_w", lambda w: F.xxhash64(w)), "_h"), F.size("_w").alias("_n"))
-    mask = F.expr("shiftleft(1L, length(bin(_n))) - 1")
-    windows = F.expr(
-        "CASE WHEN _n < 3 THEN cast(array() AS array<bigint>) ELSE transform(sequence(0, greatest(_n - 3, 0)), i -> (xxhash64(get(_h, i), get(_h, i + 1), get(_h, i + 2)) & ~_mask) | cast(i AS bigint)) END"
-    )
-    keyed = hashed.withColumn("_mask", mask).select("*", held(windows, "_k"))
-    ordered = keyed.select("*", held(F.sort_array("_k"), "_s"))
-    pairs = F.expr(
-        """filter(zip_with(slice(_s, 1, greatest(size(_s) - 1, 0)), slice(_s, 2, size(_s)), (a, b) ->
-             CASE WHEN (a & ~_mask) = (b & ~_mask) AND get(_w, cast(a & _mask AS int)) = get(_w, cast(b & _mask AS int))
-                   AND get(_w, cast(a & _mask AS int) + 1) = get(_w, cast(b & _mask AS int) + 1)
-                   AND get(_w, cast(a & _mask AS int) + 2) = get(_w, cast(b & _mask AS int) + 2)
-                  THEN struct(a & _mask AS a, b & _mask AS b) END), p -> p IS NOT NULL)"""
-    )
-    equal = ordered.select("*", held(pairs, "_p"))
-    places = equal.select("*", held(F.expr("array_sort(array_distinct(concat(transform(_p, p -> p.a), transform(_p, p -> p.b))))"), "_r"))
-    covered = F.expr("aggregate(zip_with(_r, slice(_r, 2, greatest(size(_r), 1)), (p, q) -> least(3L, coalesce(q - p, 3L))), 0L, (s, x) -> s + x)")
-    lines = places.select("*", held(F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0), "_l"))
-    return lines.select(
-        *[F.col(c) for c in kept],
-        F.col("_n").cast("long").alias("n_words"),
-        F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        covered.cast("long").alias("n_repeat_words"),
-    )
-
-
-def cascade_order(sample: DataFrame, rules: list[Rule], repeats: int = 2) -> list[tuple[Rule, float, float]]:
+    w, h = fresh + "w", fresh + "h"
+    hashed = docs.select("*", held(split_words(text), w)).select("*", held(word_windows(F.col(w)), h))
+    raw = raw_features(text_col) | {"n_words": F.size(w).cast("long"), "word_chars": F.length(F.array_join(w, "")).cast("long"), "n_repeat_words": repeated(F.col(w), F.col(h))}
+    return hashed.select(*[F.col(c) for c in kept], *[raw[f].alias(f) for f in FEATURES])
+
+
+def cascade_order(sample: DataFrame, rules: list[Rule], features: Mapping[str, Column], repeats: int = 3) -> list[tuple[Rule, float, float]]:
     """The rules by rejections per second, the best first, each with its seconds and its rejected share on a sample.
 
-    A rule's cost is the least time of `repeats` runs over the sample, less that of a run without a rule. On an empty sample the
-    rules keep their order.
+    A rule's cost is the least time of `repeats` runs over the sample, with all that its features take from the raw text, less that
+    of a run without a rule. Times vary, so costs count as powers of two, 1 ms at least; equals go by name. On an empty sample the
+    rules go by name.
     """
 
     def run(rule: Column) -> tuple[float, float]:
@@ -83,36 +133,34 @@ def cascade_order(sample: DataFrame, rules: list[Rule], repeats: int = 2) -> lis
     idle, _ = run(F.lit(False))
     found = []
     for rule in rules:
-        seconds, share = run(rule.rejects)
-        found.append((rule, max(seconds - idle, 1e-4), share))
-    return sorted(found, key=lambda x: -x[2] / x[1])
+        seconds, share = run(rule.rejects(*[features[f] for f in rule.needs]))
+        found.append((rule, 2.0 ** round(math.log2(max(seconds - idle, 1e-3))), share))
+    return sorted(found, key=lambda x: (-x[2] / x[1], x[0].name))
 
 
-def cascade(docs: DataFrame, rules: list[Rule], prepare: Callable[[DataFrame], DataFrame] = lambda x: x, id_col: str = "doc_id", sample_rows: int = 1000) -> DataFrame:
+def cascade(docs: DataFrame, rules: list[Rule], features: Mapping[str, Column], sample_rows: int = 1000, id_col: str = "doc_id", ready: tuple[str, ...] = (), prepare: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
     """prepare(docs) with rejected_by: the first rule, in the order of cascade_order, that rejects the row, or null.
 
-    prepare adds the columns that the rules read. Costs and selectivities are measured on prepare(sample), where the sample has
-    about `sample_rows` rows, twice that at most. CASE WHEN stops at the first true branch, so a row pays for the rules up to its
-    rejection only. Whether a row is rejected does not depend on the order.
+    features: each feature's column, from the raw text. CASE WHEN stops at the first true branch, so a row pays for the features of
+    the rules up to its rejection only; those named in `ready` are columns that prepare adds for all rows anyway. Costs and
+    selectivities are measured on about `sample_rows` raw texts, twice that at most. Whether a row is rejected does not depend on the order.
     """
-    few = sampled(docs, id_col, sample_rows).collect()
+    sample = cut(sampled(docs, id_col, sample_rows).coalesce(1))
+    own = {f: F.col(f) if f in ready else c for f, c in features.items()}
     out = F.lit(None).cast("string")
-    measured = cut(prepare(docs.sparkSession.createDataFrame(few, docs.schema).coalesce(1)))
-    for rule, _, _ in reversed(cascade_order(measured, rules)):
-        out = F.when(F.coalesce(rule.rejects, F.lit(False)), F.lit(rule.name)).otherwise(out)
+    for rule, _, _ in reversed(cascade_order(sample, rules, features)):
+        out = F.when(F.coalesce(rule.rejects(*[own[f] for f in rule.needs]), F.lit(False)), F.lit(rule.name)).otherwise(out)
     return prepare(docs).withColumn("rejected_by", out)
 
 
-def production_rules(text_col: str = "text") -> list[Rule]:
-    """The rules of the corpus, over word_features' columns and the text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
+def production_rules() -> list[Rule]:
+    """The rules of the corpus, over raw_features' columns."""
     return [
-        Rule("few_words", F.col("n_words") < 50),
-        Rule("repeated_windows", 100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-        Rule("symbols", 10 * F.col("n_symbols") > F.col("n_words")),
-        Rule("word_length", (F.col("word_chars") > 18 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words"))),
-        Rule("repeated_lines", (F.col("n_dup_lines") >= 3) & (2 * F.col("n_dup_lines") > F.length(text) - F.length(F.translate(text, "\n", "")) + 1)),
-        Rule("capitals", 2 * count("[A-Z]") > count("[A-Za-z]")),
-        Rule("shouting", 10 * count("!") > F.col("n_words")),
+        Rule("few_words", ("n_words",), lambda n: n < 50),
+        Rule("repeated_windows", ("n_repeat_words", "n_words"), lambda r, n: 100 * r > 50 * n),
+        Rule("symbols", ("n_symbols", "n_words"), lambda s, n: 10 * s > n),
+        Rule("word_length", ("word_chars", "n_words"), lambda c, n: (c > 18 * n) | (c < 2 * n)),
+        Rule("repeated_lines", ("n_dup_lines", "n_lines"), lambda d, n: (d >= 3) & (2 * d > n)),
+        Rule("capitals", ("n_capitals", "n_letters"), lambda c, n: 2 * c > n),
+        Rule("shouting", ("n_shouts", "n_words"), lambda s, n: 10 * s > n),
     ]
