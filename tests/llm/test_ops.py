@@ -163,6 +163,20 @@ def test_contamination_is_exact(spark, broadcast_rows):
     assert [got[i] for i in range(len(texts))] == brute_contamination(texts, items)
 
 
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_rows_of_one_id_are_documents_of_their_own(spark, broadcast_rows):
+    item, other = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight"
+    rows = [(1, f"x {item}"), (1, f"{other} y"), (1, f"{other} y"), (None, item), (None, None), (None, None), (2, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    found = decontamination.contamination(d, bench, broadcast_rows=broadcast_rows)
+    got = sorted((r["doc_id"] or 0, r["n_words"], [tuple(s) for s in r["spans"]], r["item_ids"]) for r in found.collect())
+    assert got == [(0, 0, [], []), (0, 0, [], []), (0, 8, [(0, 8)], ["1"]), (1, 9, [(0, 8)], ["2"]), (1, 9, [(0, 8)], ["2"]), (1, 9, [(1, 8)], ["1"]), (2, 0, [], [])]
+    clash = d.withColumn("_spans", F.lit(1)).withColumn("_key", F.lit(2)).withColumn("row_key", F.lit(3))
+    left = decontamination.drop_and_cut(clash, found)
+    assert left.columns == clash.columns and sorted((r["doc_id"] or 0, r["text"] or "-") for r in left.collect()) == [(0, "-"), (0, "-"), (0, "-"), (1, "x "), (1, "y"), (1, "y"), (2, "-")]
+
+
 def test_contamination_without_items(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contamination(docs(spark, ODD), bench).where(F.size("spans") > 0).count() == 0
