@@ -67,12 +67,28 @@ def test_shards_are_even_and_keep_groups(spark):
         assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
     sizes = [sum(r["size"] for r in rows) for rows in by.values()]
     assert len(by) == 8 and max(sizes) < 1.03 * min(sizes)
+    for measure in (lambda r: r["tokens"], lambda r: 1):
+        each = [sum(map(measure, rows)) for rows in by.values()]
+        assert max(each) < 1.1 * min(each)
     shards = collections.defaultdict(set)
     for r in out:
         shards[texts[r["doc_id"]]].add(r["shard"])
     assert all(len(s) == 1 for s in shards.values())
 
 
+def test_units_go_where_the_dot_product_is_highest():
+    rng = np.random.default_rng(3)
+    sizes, capacity = rng.random((60, 3)) * [900, 50, 1], np.tile([900.0 * 8, 50 * 8, 8], (4, 1))
+    left = capacity.copy()
+    got = sharding.place(sizes, left)
+    residual, scale = capacity / capacity.mean(axis=0), capacity.mean(axis=0)
+    for i in sorted(range(60), key=lambda i: (-max(sizes[i] / scale), i)):
+        products = [sum(w * r * u for w, r, u in zip(sharding.WEIGHTS, row, sizes[i] / scale, strict=True)) for row in residual]
+        assert abs(products[got[i]] - max(products)) < 1e-9
+        residual[got[i]] -= sizes[i] / scale
+    assert np.allclose(left, residual * scale)
+
+
 def test_a_hot_group_is_split(spark):
     texts = ["same words here"] * 500 + [f"text number {i}" for i in range(1000)]
     out = sharding.shard(docs(spark, texts), 10).groupBy("shard").agg(F.sum("size").alias("b")).collect()

@@ -10,23 +10,23 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import cut, number_within
 
 DIMENSIONS = ("bytes", "tokens", "rows")
+#: Bytes are to come out evenest; the others follow.
+WEIGHTS = (10.0, 1.0, 1.0)
 
 
-def place(sizes: np.ndarray, capacity: np.ndarray, tail: float = 0.0) -> np.ndarray:
+def place(sizes: np.ndarray, capacity: np.ndarray, weights: tuple[float, ...] = WEIGHTS) -> np.ndarray:
     """A bin for each unit, the largest unit first: where the dot product of the unit's and the bin's residual vector is highest.
 
     sizes: (n, d). capacity: (bins, d), each bin's residual vector; it is changed. Both are scaled by the mean residual, so that
-    no dimension rules by its unit. The smallest units, with `tail` of the first dimension's total, see that dimension alone, so that it
-    comes out even where dimensions conflict. Ties go to the lowest bin.
+    no dimension rules by its unit of measure; `weights` are the dimensions' in the product. Ties go to the lowest bin.
     """
     scale = np.abs(capacity).mean(axis=0)
     scale[scale == 0] = 1
     unit, left = sizes / scale, capacity / scale
+    weighted = unit * np.array(weights[: unit.shape[1]])
     out = np.zeros(len(sizes), np.int32)
-    order = np.argsort(-unit.max(axis=1, initial=0), kind="stable")
-    late = np.cumsum(unit[order, 0]) > (1 - tail) * unit[:, 0].sum() + 1e-12
-    for i, alone in zip(order.tolist(), late.tolist(), strict=True):
-        j = int(np.argmax(left[:, 0] if alone else left @ unit[i]))
+    for i in np.argsort(-unit.max(axis=1, initial=0), kind="stable").tolist():
+        j = int(np.argmax(left @ weighted[i]))
         out[i] = j
         left[j] -= unit[i]
     capacity[:] = left * scale
@@ -39,7 +39,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     A group is the documents of one text; it is placed whole. Only a group larger than a shard in some dimension is split, by a
     hash of the id, into `pieces_per_shard` pieces for each shard's worth. Units over 1 / (shards * heavy_share) of the whole, of
     which there are at most 3 * shards * heavy_share, are placed on the driver first; the others are dealt by hash into blocks of
-    about `block_groups`, and each block fills its equal part of what the shards still lack, its smallest units by bytes alone. Returns id, size, tokens, text_crc32,
+    about `block_groups`, and each block fills its equal part of what the shards still lack. Returns id, size, tokens, text_crc32,
     shard, slot (gapless from 0 in its shard, in no particular order).
 
     A null text has no bytes and is grouped apart from the empty text; null ids are one id. Repeated rows each get a slot. An empty
@@ -81,9 +81,12 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
         own = block[list(DIMENSIONS)].to_numpy(float)
         want = np.maximum(residual, 0)
         want *= own.sum(axis=0) / np.maximum(want.sum(axis=0), 1e-9)
-        return pd.DataFrame({"key": block["key"], "piece": block["piece"], "shard": place(own, want, 0.3)})
+        return pd.DataFrame({"key": block["key"], "piece": block["piece"], "shard": place(own, want)})
 
     light = units.where(share <= least).withColumn("block", F.pmod(F.xxhash64("key", "piece"), F.lit(blocks)))
-    placed = placed.unionByName(light.groupBy("block").applyInPandas(fill, "key binary, piece int, shard int"))
-    dealt = base.join(placed, ["key", "piece"]).select("id", F.col("bytes").alias("size"), "tokens", "text_crc32", "shard")
+    dealt = light.groupBy("block").applyInPandas(fill, "key binary, piece int, shard int")
+    # Rows of heavy units, of which some have many, meet their few shards without a shuffle.
+    at, columns = ["key", "piece"], ["id", F.col("bytes").alias("size"), "tokens", "text_crc32", "shard"]
+    heavy_rows = base.join(F.broadcast(placed), at).select(*columns)
+    dealt = base.join(F.broadcast(placed), at, "left_anti").join(dealt, at).select(*columns).unionByName(heavy_rows)
     return number_within(cut(dealt), ["shard"], ["id", "text_crc32"], "slot").withColumnRenamed("id", id_col)
