@@ -11,7 +11,7 @@ from tidewatch.llm.common import cut, number_within
 
 DIMENSIONS = ("bytes", "tokens", "rows")
 #: Bytes are to come out evenest; the others follow.
-WEIGHTS = (10.0, 1.0, 1.0)
+WEIGHTS = (30.0, 1.0, 1.0)
 
 
 def place(sizes: np.ndarray, capacity: np.ndarray, weights: tuple[float, ...] = WEIGHTS) -> np.ndarray:
