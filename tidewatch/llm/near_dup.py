@@ -231,12 +231,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         large = left.where(F.col("n") > full_bucket).withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / 256)))
         each_salt = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / 256) - 1)).alias("salt")
         lead = large.groupBy("h", "n").agg(F.max(F.struct("weight", F.xxhash64("id"), "id")).alias("m")).select("h", F.col("m.id").alias("head"), each_salt)
-        led = large.select("h", "salt", "id").join(lead, ["h", "salt"]).where(F.col("id") != F.col("head"))
+        led = large.select("h", "n", "salt", "id").join(lead, ["h", "salt"]).where(F.col("id") != F.col("head"))
         pairs = cut(ends.unionByName(led.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))).distinct())
         links = verified(pairs)
         classes = components(links)
-        # What is left are full buckets that still hold texts of two classes or more, of texts with `enough` entries in such buckets.
-        rest = large.select("h", "n", "salt", "id").join(classes, "id", "left").withColumn("part", F.coalesce("class", "id"))
+        # What is left are full buckets of two classes or more: those with a text that was linked neither to the leader nor, otherwise,
+        # to its class. Only texts with `enough` entries in such buckets go on.
+        apart = led.select("h", "n", "id", "head", F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).join(links, ["a", "b"], "left_anti")
+        side = lambda c: classes.select(F.col("id").alias(c), F.col("class").alias(c + "_class"))
+        told = apart.join(side("id"), "id", "left").join(side("head"), "head", "left")
+        split_buckets = told.where(F.coalesce("id_class", "id") != F.coalesce("head_class", "head")).select("h", "n").distinct().select("h", each_salt)
+        inside = large.select("h", "n", "salt", "id").join(split_buckets, ["h", "salt"], "left_semi")
+        rest = inside.join(classes, "id", "left").withColumn("part", F.coalesce("class", "id"))
         for _ in range(2):
             mixed = rest.groupBy("h", "n").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).where(F.col("_a") != F.col("_b")).select("h", each_salt)
             inside = rest.join(mixed, ["h", "salt"], "left_semi")
