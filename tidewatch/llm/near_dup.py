@@ -124,7 +124,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alignment, agree with a similarity of `least` or more are linked. Two texts whose shingles have that similarity, in order, are
     always alike enough, as are those with up to a ninth of their words changed. Classes are the connected components of the
     links. Buckets of up to `full_bucket` texts give all of their pairs. In a larger one every text is aligned with the bucket's
-    leader, the text with most company in all of its buckets. What larger buckets still hold in two classes or more then goes
+    leader, the text with most company in all of its buckets, unless all of the bucket turn out to be of one class before. What larger buckets still hold in two classes or more then goes
     through a join on rare shingles, which loses no pair whose shingles have a similarity of `least`, so no bucket is capped. Two such
     texts share half of their 32 entries, and fewer than `enough` with a chance of 1 in 10,000; if they share a bucket that isn't a
     larger one of several classes, they have met. So only texts with `enough` entries in such buckets go there. Pairs within a class,
@@ -228,24 +228,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         small = left.where(F.col("n") <= full_bucket).groupBy("h").agg(F.array_sort(F.collect_set("id")).alias("ids"))
         ends = small.select(F.posexplode("ids").alias("at", "a"), "ids").select("a", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("b"))
         # A bucket's rows are dealt into parts of about 256, so that no task reads all of a large one.
-        large = left.where(F.col("n") > full_bucket).withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / 256)))
+        large = left.where(F.col("n") > full_bucket)
+        salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / 256)).alias("salt")
         each_salt = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / 256) - 1)).alias("salt")
         lead = large.groupBy("h", "n").agg(F.max(F.struct("weight", F.xxhash64("id"), "id")).alias("m")).select("h", F.col("m.id").alias("head"), each_salt)
-        led = large.select("h", "n", "salt", "id").join(lead, ["h", "salt"]).where(F.col("id") != F.col("head"))
-        pairs = cut(ends.unionByName(led.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))).distinct())
+        # A text first meets the leaders of its three largest buckets, and those of others only where they still hold several classes.
+        full = cut(large.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "h")), asc=False).alias("hs")))
+
+        def meet(entries: DataFrame) -> DataFrame:
+            led = entries.select("h", salt, "id").join(lead, ["h", "salt"]).where(F.col("id") != F.col("head"))
+            return led.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
+
+        pairs = cut(ends.unionByName(meet(full.select("id", F.explode(F.slice("hs", 1, 3)).alias("e")).select("id", "e.*"))).distinct())
         links = verified(pairs)
         classes = components(links)
-        # What is left are full buckets of two classes or more: those with a text that was linked neither to the leader nor, otherwise,
-        # to its class. Only texts with `enough` entries in such buckets go on.
-        apart = led.select("h", "n", "id", "head", F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).join(links, ["a", "b"], "left_anti")
-        side = lambda c: classes.select(F.col("id").alias(c), F.col("class").alias(c + "_class"))
-        told = apart.join(side("id"), "id", "left").join(side("head"), "head", "left")
-        split_buckets = told.where(F.coalesce("id_class", "id") != F.coalesce("head_class", "head")).select("h", "n").distinct().select("h", each_salt)
-        inside = large.select("h", "n", "salt", "id").join(split_buckets, ["h", "salt"], "left_semi")
-        rest = inside.join(classes, "id", "left").withColumn("part", F.coalesce("class", "id"))
+
+        def mixed(entries: DataFrame) -> DataFrame:
+            """Of (id, part, h, n): the buckets of several parts."""
+            return entries.groupBy("h", "n").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).where(F.col("_a") != F.col("_b")).select("h", each_salt)
+
+        placed = full.join(classes, "id", "left").select("id", F.coalesce("class", "id").alias("part"), F.explode("hs").alias("e")).select("id", "part", "e.*")
+        rest = cut(placed.withColumn("salt", salt).join(mixed(placed), ["h", "salt"], "left_semi").select("id", "h", "n", "salt"))
+        more = cut(meet(rest).distinct().join(pairs, ["a", "b"], "left_anti"))
+        pairs = cut(pairs.unionByName(more))
+        found = verified(more)
+        if not is_empty(found):
+            links = cut(links.unionByName(found))
+            classes = components(links)
+        # What is left are full buckets of two classes or more. Only texts with `enough` entries in such buckets go on.
+        rest = rest.join(classes, "id", "left").withColumn("part", F.coalesce("class", "id"))
         for _ in range(2):
-            mixed = rest.groupBy("h", "n").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).where(F.col("_a") != F.col("_b")).select("h", each_salt)
-            inside = rest.join(mixed, ["h", "salt"], "left_semi")
+            inside = rest.join(mixed(rest), ["h", "salt"], "left_semi")
             rest = cut(inside.join(inside.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= enough).select("id"), "id", "left_semi"))
         rest = cut(rest.select("id", "part").distinct())
         if not is_empty(rest):
