@@ -114,6 +114,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes (id, class), of ids in classes of several, after links (pa, pb) between classes; an id on its own is its class."""
+    up = components(links.select(F.col("pa").alias("a"), F.col("pb").alias("b")))
+    higher = up.select(F.col("id").alias("class"), F.col("class").alias("root"))
+    moved = classes.join(higher, "class", "left").select("id", F.coalesce("root", "class").alias("class"))
+    return cut(moved.unionByName(up.join(classes, "id", "left_anti")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, sketches: int = 32, keep: int = 3, full_bucket: int = 12, seed: int = 7, short: tuple[int, ...] = (12, 48), enough: int = 6) -> DataFrame:
     """Each document's class of near duplicates: id_col, class_id (the least id of the class), n_copies.
 
@@ -123,8 +131,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     those that may be like such a text have both kinds. Texts that share an entry are candidates; those whose words, in a banded
     alignment, agree with a similarity of `least` or more are linked. Two texts whose shingles have that similarity, in order, are
     always alike enough, as are those with up to a ninth of their words changed. Classes are the connected components of the
-    links. Buckets of up to `full_bucket` texts give all of their pairs. In a larger one every text is aligned with the bucket's
-    leader, the text with most company in all of its buckets, unless all of the bucket turn out to be of one class before. What larger buckets still hold in two classes or more then goes
+    links. Texts are aligned with the leaders of
+    their two largest buckets first; a leader is the text with most company in all of its buckets. Buckets of up to `full_bucket` texts
+    then give all of their pairs, and in larger ones every text is aligned with the leader, but for texts of one class by then. What larger buckets still hold in two classes or more then goes
     through a join on rare shingles, which loses no pair whose shingles have a similarity of `least`, so no bucket is capped. Two such
     texts share half of their 32 entries, and fewer than `enough` with a chance of 1 in 10,000; if they share a bucket that isn't a
     larger one of several classes, they have met. So only texts with `enough` entries in such buckets go there. Pairs within a class,
@@ -223,50 +232,55 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Texts with many entries in full buckets are near the middle of their group, so they lead.
     popular = left.groupBy("id").agg(F.sum(F.ln("n")).alias("weight"))
     left = cut(left.join(popular, "id"))
-    links = classes = None
+    classes = None
     if not is_empty(left):
-        small = left.where(F.col("n") <= full_bucket).groupBy("h").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-        ends = small.select(F.posexplode("ids").alias("at", "a"), "ids").select("a", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("b"))
+        is_full = F.col("n") > full_bucket
+        lists = [F.collect_list(F.when(~is_full, F.col("h"))).alias("small"), F.sort_array(F.collect_list(F.when(is_full, F.struct("n", "h"))), asc=False).alias("full")]
+        texts = cut(left.groupBy("id").agg(*lists))
         # A bucket's rows are dealt into parts of about 256, so that no task reads all of a large one.
-        large = left.where(F.col("n") > full_bucket)
         salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / 256)).alias("salt")
         each_salt = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / 256) - 1)).alias("salt")
-        lead = large.groupBy("h", "n").agg(F.max(F.struct("weight", F.xxhash64("id"), "id")).alias("m")).select("h", F.col("m.id").alias("head"), each_salt)
-        # A text first meets the leaders of its three largest buckets, and those of others only where they still hold several classes.
-        full = cut(large.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "h")), asc=False).alias("hs")))
+        lead = cut(left.where(is_full).groupBy("h", "n").agg(F.max(F.struct("weight", F.xxhash64("id"), "id")).alias("m")).select("h", "n", F.col("m.id").alias("head")))
+        ends = [F.col(f"{end}.{f}").alias(name) for end, names in (("x", ("a", "pa")), ("y", ("b", "pb"))) for f, name in zip(("id", "part"), names, strict=True)]
 
-        def meet(entries: DataFrame) -> DataFrame:
-            led = entries.select("h", salt, "id").join(lead, ["h", "salt"]).where(F.col("id") != F.col("head"))
-            return led.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
+        def parts_of(ids: DataFrame, of: DataFrame, id_name: str = "id", name: str = "part") -> DataFrame:
+            known = of.select(F.col("id").alias(id_name), F.col("class").alias(name))
+            return ids.join(known, id_name, "left").withColumn(name, F.coalesce(name, id_name))
 
-        pairs = cut(ends.unionByName(meet(full.select("id", F.explode(F.slice("hs", 1, 3)).alias("e")).select("id", "e.*"))).distinct())
-        links = verified(pairs)
-        classes = components(links)
+        def meet(entries: DataFrame, leaders: DataFrame) -> DataFrame:
+            """Pairs (a, pa, b, pb) of texts and of their buckets' leaders (h, n, head, head_part), where their parts differ."""
+            each = leaders.select("h", F.struct(F.col("head").alias("id"), F.col("head_part").alias("part")).alias("y"), each_salt)
+            led = entries.select("h", salt, F.struct("id", "part").alias("x")).join(each, ["h", "salt"]).where(F.col("x.part") != F.col("y.part"))
+            return led.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).select(*ends)
 
         def mixed(entries: DataFrame) -> DataFrame:
-            """Of (id, part, h, n): the buckets of several parts."""
-            return entries.groupBy("h", "n").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).where(F.col("_a") != F.col("_b")).select("h", each_salt)
-
-        placed = full.join(classes, "id", "left").select("id", F.coalesce("class", "id").alias("part"), F.explode("hs").alias("e")).select("id", "part", "e.*")
-        rest = cut(placed.withColumn("salt", salt).join(mixed(placed), ["h", "salt"], "left_semi").select("id", "h", "n", "salt"))
-        more = cut(meet(rest).distinct().join(pairs, ["a", "b"], "left_anti"))
-        pairs = cut(pairs.unionByName(more))
-        found = verified(more)
-        if not is_empty(found):
-            links = cut(links.unionByName(found))
-            classes = components(links)
+            """Of (id, part, h, n): those in buckets of several parts."""
+            several = entries.groupBy("h", "n").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).where(F.col("_a") != F.col("_b")).select("h", each_salt)
+            return entries.select("id", "part", "h", "n", salt).join(several, ["h", "salt"], "left_semi").select("id", "part", "h", "n")
+
+        # Texts first meet the leaders of their two largest buckets.
+        largest = texts.select("id", F.col("id").alias("part"), F.explode(F.slice("full", 1, 2)).alias("e")).select("id", "part", "e.*")
+        pairs = cut(meet(largest, lead.withColumn("head_part", F.col("head"))).distinct())
+        classes = components(verified(pairs.select("a", "b")))
+        # Small buckets, and full ones that hold several classes, then give pairs of texts of different classes.
+        placed = cut(parts_of(texts, classes))
+        of_small = placed.select(F.struct("id", "part").alias("x"), F.explode("small").alias("h")).groupBy("h").agg(F.array_sort(F.collect_set("x")).alias("xs"))
+        several = of_small.where(F.size(F.array_distinct(F.transform("xs", lambda x: x["part"]))) > 1)
+        both = several.select(F.posexplode("xs").alias("at", "x"), "xs").select("x", F.explode(F.expr("filter(slice(xs, at + 2, size(xs)), y -> y.part != x.part)")).alias("y")).select(*ends)
+        rest = cut(mixed(placed.select("id", "part", F.explode("full").alias("e")).select("id", "part", "e.*")))
+        more = cut(both.unionByName(meet(rest, parts_of(lead, classes, "head", "head_part"))).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+        tried = pairs.select("a", "b").unionByName(more.select("a", "b"))
+        classes = joined_classes(classes, verified(more.select("a", "b")).join(more, ["a", "b"]).select("pa", "pb").distinct())
         # What is left are full buckets of two classes or more. Only texts with `enough` entries in such buckets go on.
-        rest = rest.join(classes, "id", "left").withColumn("part", F.coalesce("class", "id"))
+        rest = parts_of(rest.drop("part"), classes)
         for _ in range(2):
-            inside = rest.join(mixed(rest), ["h", "salt"], "left_semi")
+            inside = mixed(rest)
             rest = cut(inside.join(inside.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= enough).select("id"), "id", "left_semi"))
         rest = cut(rest.select("id", "part").distinct())
         if not is_empty(rest):
-            more = cut(prefix_pairs(only(texts_of, rest.select("id")), rest).join(pairs, ["a", "b"], "left_anti"))
-            found = verified(more)
-            if not is_empty(found):
-                links = cut(links.unionByName(found))
-                classes = components(links)
+            found = verified(cut(prefix_pairs(only(texts_of, rest.select("id")), rest).join(tried, ["a", "b"], "left_anti")))
+            of = lambda end: rest.select(F.col("id").alias(end), F.col("part").alias("p" + end))
+            classes = joined_classes(classes, found.join(of("a"), "a").join(of("b"), "b").select("pa", "pb").distinct())
     if classes is None:
         known = members.select("same", F.col("rep").alias("class"), "n_copies")
     else:
