@@ -136,7 +136,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     then give all of their pairs, and in larger ones every text is aligned with the leader, but for texts of one class by then. What larger buckets still hold in two classes or more then goes
     through a join on rare shingles, which loses no pair whose shingles have a similarity of `least`, so no bucket is capped. Two such
     texts share half of their 32 entries, and fewer than `enough` with a chance of 1 in 10,000; if they share a bucket that isn't a
-    larger one of several classes, they have met. So only texts with `enough` entries in such buckets go there. Pairs within a class,
+    larger one of several classes, they have met. So only texts with `enough` entries in such buckets go on: those that share one of 48
+    entries of eight shingles (which two such texts miss with a chance of 1 in 5,000) meet, or go to that join where many do. Pairs within a class,
     whose alignment could change nothing, are never made. n_copies: the documents of the document's text.
 
     Null texts count as empty. Ids are taken as distinct; rows of one id and one text count once. Each row with a null id is a class of its own: class_id null, n_copies 1. An
@@ -212,6 +213,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 labelled, first = shingles(h, starts, k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(labelled.view(np.int64)))], names=shingle_kind.names)
 
+    fine_kind = T.StructType([T.StructField("id", kind), T.StructField("entries", T.ArrayType(T.LongType()))])
+    fine_seeds = rng.integers(1, 1 << 63, 48, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def fine_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in split(batches):
+            rows = [order_minhash(s.values.to_numpy().view(np.uint64), fine_seeds, 8).view(np.int64) for s in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=fine_kind.names)
+
     def prefix_pairs(texts: DataFrame, parts: DataFrame) -> DataFrame:
         """Pairs (a, b) of different parts that may be similar enough: of two texts that are, each shares one of its rarest shingles.
 
@@ -247,6 +256,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             known = of.select(F.col("id").alias(id_name), F.col("class").alias(name))
             return ids.join(known, id_name, "left").withColumn(name, F.coalesce(name, id_name))
 
+        def pairs_in(groups: DataFrame) -> DataFrame:
+            """Pairs (a, pa, b, pb) of small groups' texts xs (id, part) of different parts."""
+            each = groups.select(F.posexplode(F.array_sort("xs")).alias("at", "x"), F.array_sort("xs").alias("xs"))
+            return each.select("x", F.explode(F.expr("filter(slice(xs, at + 2, size(xs)), y -> y.part != x.part)")).alias("y")).select(*ends)
+
         def meet(entries: DataFrame, leaders: DataFrame) -> DataFrame:
             """Pairs (a, pa, b, pb) of texts and of their buckets' leaders (h, n, head, head_part), where their parts differ."""
             each = leaders.select("h", F.struct(F.col("head").alias("id"), F.col("head_part").alias("part")).alias("y"), each_salt)
@@ -264,9 +278,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         classes = components(verified(pairs.select("a", "b")))
         # Small buckets, and full ones that hold several classes, then give pairs of texts of different classes.
         placed = cut(parts_of(texts, classes))
-        of_small = placed.select(F.struct("id", "part").alias("x"), F.explode("small").alias("h")).groupBy("h").agg(F.array_sort(F.collect_set("x")).alias("xs"))
-        several = of_small.where(F.size(F.array_distinct(F.transform("xs", lambda x: x["part"]))) > 1)
-        both = several.select(F.posexplode("xs").alias("at", "x"), "xs").select("x", F.explode(F.expr("filter(slice(xs, at + 2, size(xs)), y -> y.part != x.part)")).alias("y")).select(*ends)
+        of_small = placed.select(F.struct("id", "part").alias("x"), F.explode("small").alias("h")).groupBy("h").agg(F.collect_set("x").alias("xs"))
+        both = pairs_in(of_small.where(F.size(F.array_distinct(F.transform("xs", lambda x: x["part"]))) > 1))
         rest = cut(mixed(placed.select("id", "part", F.explode("full").alias("e")).select("id", "part", "e.*")))
         more = cut(both.unionByName(meet(rest, parts_of(lead, classes, "head", "head_part"))).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
         tried = pairs.select("a", "b").unionByName(more.select("a", "b"))
@@ -278,7 +291,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rest = cut(inside.join(inside.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= enough).select("id"), "id", "left_semi"))
         rest = cut(rest.select("id", "part").distinct())
         if not is_empty(rest):
-            found = verified(cut(prefix_pairs(only(texts_of, rest.select("id")), rest).join(tried, ["a", "b"], "left_anti")))
+            # They have entries of more shingles, which texts that share a passage only don't have in common.
+            finer = only(texts_of, rest.select("id")).mapInArrow(fine_sketch, fine_kind).select("id", F.explode("entries").alias("h")).join(rest, "id")
+            groups = cut(finer.groupBy("h").agg(F.collect_set(F.struct("id", "part")).alias("xs")).where(F.size(F.array_distinct(F.transform("xs", lambda x: x["part"]))) > 1))
+            few = pairs_in(groups.where(F.size("xs") <= full_bucket)).select("a", "b")
+            many = cut(groups.where(F.size("xs") > full_bucket).select(F.explode("xs").alias("x")).select("x.*").distinct())
+            more = few if is_empty(many) else few.unionByName(prefix_pairs(only(texts_of, many.select("id")), many))
+            found = verified(cut(more.distinct().join(tried, ["a", "b"], "left_anti")))
             of = lambda end: rest.select(F.col("id").alias(end), F.col("part").alias("p" + end))
             classes = joined_classes(classes, found.join(of("a"), "a").join(of("b"), "b").select("pa", "pb").distinct())
     if classes is None:
