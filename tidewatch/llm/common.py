@@ -14,6 +14,8 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewatch-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -58,9 +60,10 @@ def without(df: DataFrame, ids: DataFrame, id_col: str, most: int = 500_000) ->
     return df.join(F.broadcast(ids) if ids.count() <= most else ids, id_col, "left_anti")
 
 
-def text_batches(df: DataFrame, rows: int = 2000) -> None:
-    """Hand rows with whole texts to Python in batches of `rows` at most from now on, so that workers stay small."""
+def text_batches(df: DataFrame, rows: int = 2000, size: int = 16 << 20) -> None:
+    """Hand rows to Python in batches of `rows` and about `size` bytes at most from now on, so that workers stay small however long the texts are."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def is_empty(df: DataFrame) -> bool:
