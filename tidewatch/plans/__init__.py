@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["curves", "tables", "models", "reports"]
+MODULES = ["curves", "tables", "models", "reports", "feature_sql"]
 
 
 def load() -> None:
