@@ -71,6 +71,14 @@ def test_simulation_does_not_depend_on_partitions(spark):
     assert {r["label"] for r in a} == {0, 1, 2} and len(a) == 15
 
 
+def test_simulated_curves_turn_when_their_class_does(spark):
+    made = simulate.benchmark(spark, 30, "mixed", 200).collect()
+    for label in (0, 1, 2):
+        own = [np.array(r["x"]) for r in made if r["label"] == label]
+        low, high = simulate.TURNS[label]
+        assert len(own) == 30 and all(abs(x.min()) < 1e-9 and abs(x.max() - 1) < 1e-9 and low < simulate.turn(x) < high for x in own)
+
+
 def test_mixtures_find_two_clouds(spark):
     g = np.random.default_rng(0)
     x = np.concatenate([g.normal(0, 1, (150, 2)), g.normal(8, 1, (150, 2))])

@@ -54,53 +54,73 @@ TEMPLATES: dict[str, Callable[[np.ndarray, np.random.Generator], np.ndarray]] =
 }
 
 
+#: Ranges of the parameters, lengths, spans and noise that the processes are drawn from, and when a class's curves may
+#: turn. A saddle-node's drive sweeps from -speed * r^2 to r^2; it starts near the branch that ends there, and must reach `ESCAPES`.
+SADDLE_NODE_RANGES = {"r": (0.05, 0.35), "a3": (-0.05, 0.05), "speed": (0.3, 5.0), "start": (0.90, 1.10)}
+TRANSCRITICAL_RANGES = {"mu": (0.3, 4.0), "a2": (0.8, 2.0), "a3": (-0.5, 0.5), "start": (0.005, 0.05)}
+LENGTHS, SPANS, NOISE_MEMORY = (15, 80), (5.0, 20.0), (0.0, 0.9)
+NOISE_LEVELS = (0.005, 0.01, 0.02, 0.05, 0.10, 0.15, 0.20)
+TURNS = {SADDLE_NODE: (0.50, 1.01), TRANSCRITICAL: (-0.01, 0.65), NULL: (-0.01, 1.01)}
+ESCAPES = 4.0
+
+
 def draw(label: int, kind: str, rng: np.random.Generator, n: int = 500, noise: float = 0.03) -> np.ndarray:
-    """One candidate of a class; kind names the null's template."""
-    t = np.linspace(0, 1, n)
-    if label == SADDLE_NODE:
-        p = {"mu0": -0.5 * rng.uniform(0.3, 1), "mu1": rng.uniform(0.3, 1.0), "a2": 1.0, "a3": -rng.uniform(0.2, 0.5)}
-        return integrate(DRIFTS["saddle_node"], -float(np.sqrt(-p["mu0"])), p, rng, n, rng.uniform(40, 80), rng.uniform(0.01, 0.04))
+    """One candidate of a class, its raw values: n of a null, whose template `kind` names, and as many as drawn of a process."""
+    if label == NULL:
+        x = K.minmax(TEMPLATES[kind](np.linspace(0, 1, n), rng))
+        e = ar1(rng, n)
+        return K.minmax(x + noise * e / (np.abs(e).max() + 1e-12))
+    own = {"n": int(rng.integers(*LENGTHS)), "t_end": rng.uniform(*SPANS), "sigma": rng.choice(NOISE_LEVELS), "phi": rng.uniform(*NOISE_MEMORY)}
+    p = {k: rng.uniform(*v) for k, v in (SADDLE_NODE_RANGES if label == SADDLE_NODE else TRANSCRITICAL_RANGES).items()}
     if label == TRANSCRITICAL:
-        p = {"mu": rng.uniform(0.15, 0.5), "a2": rng.uniform(0.3, 0.8)}
-        return integrate(DRIFTS["transcritical"], rng.uniform(0.005, 0.03), p, rng, n, rng.uniform(40, 60), rng.uniform(0.002, 0.01))
-    x = K.minmax(TEMPLATES[kind](t, rng))
-    e = ar1(rng, n)
-    return K.minmax(x + noise * e / (np.abs(e).max() + 1e-12))
+        return integrate(DRIFTS["transcritical"], p["start"], p, rng, **own)
+    p |= {"mu0": -p["speed"] * p["r"] ** 2, "mu1": p["r"] ** 2, "a2": 1.0}
+    return integrate(DRIFTS["saddle_node"], -float(np.sqrt(-p["mu0"])) * p["start"], p, rng, **own)
+
+
+def turn(u: np.ndarray) -> float:
+    """When a curve rises fastest, from 0 to 1."""
+    rise = np.diff(u)
+    return int(np.argmax(rise)) / len(rise)
 
 
-def valid(x: np.ndarray, label: int) -> bool:
-    """Finite, within ten, moves by 0.05 or more, ends on a visible plateau (but for nulls), and turns where its class does."""
-    if not np.isfinite(x).all() or np.abs(x).max() > 10 or np.ptp(x) < 0.05:
-        return False
-    tail = x[-max(3, int(0.15 * len(x))) :]
-    if label != NULL and (np.abs(tail - x.max()) > 0.05 * abs(x.max()) + 0.1 * np.ptp(x)).any():
-        return False
-    half = int(np.argmax(K.minmax(x) >= 0.5)) / (len(x) - 1)
-    return half > 0.05 and (half < 0.95)
+def valid(x: np.ndarray, label: int, points: int = 500) -> np.ndarray | None:
+    """The curve of raw values x on `points` places, from 0 to 1, or None if it isn't one of its class.
+
+    It must be finite, within ten, move by 0.05 or more, escape if it is a saddle-node, end on a visible plateau unless it is a null, and
+    turn when its class does.
+    """
+    if not np.isfinite(x).all() or np.abs(x).max() > 10 or np.ptp(x) < 0.05 or label == SADDLE_NODE and x.max() < ESCAPES:
+        return None
+    u = K.resample(K.minmax(x), points)
+    if label != NULL and (np.abs(u[-max(3, int(0.15 * points)) :] - u.max()) > 0.05 * u.max()).any():
+        return None
+    low, high = TURNS[label]
+    return K.minmax(u) if low < turn(u) < high else None
 
 
-def benchmark(spark: SparkSession, n: int, kind: str = "logistic", points: int = 500, seed: int = 0, tries: int = 3) -> DataFrame:
+def benchmark(spark: SparkSession, n: int, kind: str = "logistic", points: int = 500, seed: int = 0, tries: int = 400) -> DataFrame:
     """n valid series of each class: series_id, label, kind, x (min-max normalised).
 
-    `tries` candidates a wanted series are drawn and integrated, each seeded by its class and number; the first n valid ones of a class
-    stay. Tables do not depend on the number of partitions. kind "mixed" takes the templates in turn.
+    Number i of a class is the first valid one of up to `tries` candidates, each seeded by its class, number and try; where none is
+    valid, the job fails, so that no class comes short. Tables do not depend on the number of partitions. kind "mixed" takes the templates in turn.
     """
     kinds = sorted(TEMPLATES) if kind == "mixed" else [kind]
-    ids = spark.range(3 * n * tries).select((F.col("id") % 3).cast("int").alias("label"), F.floor(F.col("id") / 3).alias("number"))
+    ids = spark.range(3 * n).select((F.col("id") % 3).cast("int").alias("label"), F.floor(F.col("id") / 3).alias("number"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for label, number in zip(b["label"], b["number"], strict=True):
                 own = kinds[int(number) % len(kinds)] if label == NULL else ""
-                x = draw(int(label), own, K.random(seed, int(label), int(number)), points)
-                if valid(x, int(label)):
-                    out.append((int(label), int(number), own, K.minmax(x).tolist()))
-            yield pd.DataFrame(out, columns=["label", "number", "kind", "x"])
-
-    made = ids.mapInPandas(run, "label int, number long, kind string, x array<double>")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("number"))
-    return made.withColumn("_r", rank).where(F.col("_r") <= n).select(F.concat_ws("-", "label", "number").alias("series_id"), "label", "kind", "x")
+                curves = (valid(draw(int(label), own, K.random(seed, int(label), int(number), i), points), int(label), points) for i in range(tries))
+                x = next((x for x in curves if x is not None), None)
+                if x is None:
+                    raise ValueError(f"no valid curve of class {label} in {tries} tries")
+                out.append((f"{label}-{number}", int(label), own, x.tolist()))
+            yield pd.DataFrame(out, columns=["series_id", "label", "kind", "x"])
+
+    return ids.mapInPandas(run, "series_id string, label int, kind string, x array<double>")
 
 
 #: How a curve is seen: (curve, generator) to the observed curve of the same length.

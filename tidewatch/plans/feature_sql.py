@@ -44,14 +44,17 @@ def _features(spark: SparkSession, sf_dir: str, names: list[str], digits: int) -
     return curves.features(scaled, "x", names).select("series_id", *[F.round(n, digits).alias(n) for n in names])
 
 
-MOMENTS = ["pre_inflec_concavity", "post_inflec_concavity", "phase_skew_x", "phase_kurtosis_x", "outlier_timing", "histogram_mode", "zero_crossing_rate", "peak_to_rms", "bimodality_coeff", "velocity_kurtosis"]
+MOMENTS = ["pre_inflec_concavity", "post_inflec_concavity", "phase_skew_x", "phase_kurtosis_x", "outlier_timing", "histogram_mode", "zero_crossing_rate", "peak_to_rms", "bimodality_coeff", "velocity_kurtosis", "nonlinearity"]
 _MOMENTS_SQL = f"""{_BASE},
 a AS (SELECT series_id, avg(CASE WHEN i < greatest(1, pk) THEN d2 END) AS pre_inflec_concavity, avg(CASE WHEN i >= pk THEN d2 END) AS post_inflec_concavity, coalesce(avg(CASE WHEN x > mid THEN t END), 0.5) AS outlier_timing, max(x) / (sqrt(avg(x * x)) + 1e-10) AS peak_to_rms,
   (power(avg(power((x - m) / (sd + 1e-10), 3)), 2) + 1) / (avg(power((x - m) / (sd + 1e-10), 4)) + 1e-6) AS bimodality_coeff, avg(power((dx - mv) / (sv + 1e-10), 4)) - 3 AS velocity_kurtosis, any_value(hi) AS hi, any_value(n) AS n FROM p GROUP BY 1),
 f AS (SELECT series_id, avg(power((x - lm) / (ls + 1e-10), 3)) AS phase_skew_x, avg(power((x - lm) / (ls + 1e-10), 4)) - 3 AS phase_kurtosis_x FROM (SELECT *, avg(x) OVER (PARTITION BY series_id) AS lm, stddev_pop(x) OVER (PARTITION BY series_id) AS ls FROM p WHERE i >= 10) GROUP BY 1),
 h AS (SELECT series_id, min(bin) AS bin FROM (SELECT *, max(c) OVER (PARTITION BY series_id) AS most FROM (SELECT series_id, least(floor(x / hi * 10), 9) AS bin, count(*) AS c FROM p GROUP BY 1, 2)) WHERE c = most GROUP BY 1),
 z AS (SELECT series_id, sum(CASE WHEN sign(dx) <> before THEN 1 ELSE 0 END) AS crossings FROM (SELECT series_id, dx, lag(sign(dx)) OVER (PARTITION BY series_id ORDER BY i) AS before FROM p) GROUP BY 1),
-o AS (SELECT *, (bin + 0.5) / 10 * hi AS histogram_mode, crossings / greatest(n - 1, 1) AS zero_crossing_rate FROM a JOIN f USING (series_id) JOIN h USING (series_id) JOIN z USING (series_id))
+g1 AS (SELECT *, t - avg(t) OVER (PARTITION BY series_id) AS p1 FROM p), g2 AS (SELECT *, p1 * p1 - avg(p1 * p1) OVER (PARTITION BY series_id) AS p2, p1 * p1 * p1 - p1 * (sum(p1 * p1 * p1 * p1) OVER (PARTITION BY series_id) / sum(p1 * p1) OVER (PARTITION BY series_id)) AS p3 FROM g1),
+g3 AS (SELECT series_id, sum(x * p1) / sum(p1 * p1) AS c1, sum(x * p2) / sum(p2 * p2) AS c2, sum(x * p3) / sum(p3 * p3) AS c3 FROM g2 GROUP BY 1),
+g4 AS (SELECT series_id, sum(power(x - m - c1 * p1, 2)) / (sum(power(x - m - c1 * p1 - c2 * p2 - c3 * p3, 2)) + 1e-12) AS nonlinearity FROM g2 JOIN g3 USING (series_id) GROUP BY 1),
+o AS (SELECT *, (bin + 0.5) / 10 * hi AS histogram_mode, crossings / greatest(n - 1, 1) AS zero_crossing_rate FROM a JOIN f USING (series_id) JOIN h USING (series_id) JOIN z USING (series_id) JOIN g4 USING (series_id))
 SELECT series_id, {_rounded(MOMENTS, 5)} FROM o"""
 
 

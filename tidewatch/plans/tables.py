@@ -150,7 +150,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
 
 
-@query("pearson_pairs", f"WITH {_E} SELECT CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, round(covar_pop(a.x, b.x) / nullif(sqrt(var_pop(a.x) * var_pop(b.x)), 0), 6) AS r FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.j < b.j GROUP BY 1, 2 HAVING abs(covar_pop(a.x, b.x) / nullif(sqrt(var_pop(a.x) * var_pop(b.x)), 0)) > 0.3")
+@query("pearson_pairs", f"WITH {_E} SELECT CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, round(covar_pop(a.x, b.x) / nullif(sqrt(var_pop(a.x) * var_pop(b.x)), 0), 6) AS r FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.j < b.j GROUP BY 1, 2 HAVING abs(covar_pop(a.x, b.x) / nullif(sqrt(var_pop(a.x) * var_pop(b.x)), 0)) > 0.08")
 def pearson_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature pairs of high correlation, from one matrix of sums: rows are not joined with each other."""
     import numpy as np
@@ -160,7 +160,7 @@ def pearson_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, c = moments(_vectors(spark, sf_dir).withColumn("x", F.col("embedding").cast("array<double>")))
     sd = np.sqrt(np.diag(c))
     r = c / np.outer(sd, sd)
-    pairs = [(int(i), int(j), round(float(r[i, j]), 6)) for i, j in zip(*np.triu_indices(len(r), 1), strict=True) if abs(r[i, j]) > 0.3]
+    pairs = [(int(i), int(j), round(float(r[i, j]), 6)) for i, j in zip(*np.triu_indices(len(r), 1), strict=True) if abs(r[i, j]) > 0.08]
     return spark.createDataFrame(pairs, "i int, j int, r double")
 
 
