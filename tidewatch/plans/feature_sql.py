@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators import curves
-from tidewatch.plans.series_sql import S1
+from tidewatch.plans.series_sql import S1, residual, tau
 from tidewatch.registry import query
 from tidewatch.sources import series as S
 
@@ -20,20 +20,6 @@ p AS (SELECT *, min(CASE WHEN dx = top THEN i END) OVER (PARTITION BY series_id)
   avg(x) OVER (PARTITION BY series_id) AS m, stddev_pop(x) OVER (PARTITION BY series_id) AS sd, avg(dx) OVER (PARTITION BY series_id) AS mv, stddev_pop(dx) OVER (PARTITION BY series_id) AS sv, median(x) OVER (PARTITION BY series_id) AS mid, max(x) OVER (PARTITION BY series_id) AS hi FROM k)"""
 
 
-def _tau(name: str, source: str, value: str) -> str:
-    """Kendall's tau-b of a value against its place `j`."""
-    return f"{name} AS (SELECT a.series_id, CASE WHEN sum(CASE WHEN a.y <> b.y THEN 1 ELSE 0 END) = 0 THEN 0 ELSE sum(sign(b.y - a.y)) / sqrt(CAST(count(*) AS DOUBLE) * sum(CASE WHEN a.y <> b.y THEN 1 ELSE 0 END)) END AS tau FROM (SELECT series_id, j, {value} AS y FROM {source}) a JOIN (SELECT series_id, j, {value} AS y FROM {source}) b ON a.series_id = b.series_id AND a.j < b.j GROUP BY 1)"
-
-
-def _smooth(name: str, least: int, part: int) -> str:
-    """x less its Gaussian smoothing of width greatest(least, n / part), ends mirrored."""
-    return f"""{name}n AS (SELECT DISTINCT n, greatest({least}, n // {part}) AS s FROM k), {name}o AS (SELECT n, s, unnest(range(-4 * s, 4 * s + 1)) AS o FROM {name}n),
-{name}w AS (SELECT n, o, exp(-0.5 * (o / CAST(s AS DOUBLE)) * (o / CAST(s AS DOUBLE))) / sum(exp(-0.5 * (o / CAST(s AS DOUBLE)) * (o / CAST(s AS DOUBLE)))) OVER (PARTITION BY n) AS w FROM {name}o),
-{name}m AS (SELECT a.series_id, a.i, a.n, w, (((a.i + o) % (2 * a.n)) + 2 * a.n) % (2 * a.n) AS j FROM k a JOIN {name}w ON a.n = {name}w.n),
-{name}s AS (SELECT q.series_id, q.i, sum(w * b.x) AS smooth FROM {name}m q JOIN k b ON b.series_id = q.series_id AND b.i = CASE WHEN j < q.n THEN j ELSE 2 * q.n - 1 - j END GROUP BY 1, 2),
-{name} AS (SELECT k.series_id, k.i, k.n, k.x, k.x - smooth AS r FROM k JOIN {name}s USING (series_id, i))"""
-
-
 def _rounded(names: list[str], digits: int) -> str:
     return ", ".join(f"round(CAST({n} AS DOUBLE), {digits}) AS {n}" for n in names)
 
@@ -80,7 +66,7 @@ b AS (SELECT series_id, {_r2("u > 0.02 AND u < 0.40 AND t < 0.6", "ln(u + 1e-9)"
   CASE WHEN count(*) FILTER (WHERE {_ONSET}) >= 4 THEN regr_slope(CASE WHEN {_ONSET} THEN ln(u + 1e-9) END, CASE WHEN {_ONSET} THEN ln(t - t0 + 1e-6) END) ELSE 1 END AS onset_beta, {_r2("u > 0.7 AND u < 0.985", _TAIL, "t", 4)} AS approach_expfit, {_r2("u > 0.05 AND u < 0.90 AND v > 1e-9", _PER, "u", 5)} AS percap_linearity,
   max(CASE WHEN i = pv THEN u END) AS inflection_penetration, CASE WHEN count(*) FILTER (WHERE u > 0.02 AND u < 0.98) >= 4 THEN avg(CASE WHEN u > 0.02 AND u < 0.98 THEN power(v - vm, 3) END) / power(greatest(any_value(vs), 1e-12), 3) ELSE 0 END AS velocity_asymmetry,
   coalesce(max(v) / avg(CASE WHEN v > 1e-9 THEN v END), 1) AS takeoff_abruptness, avg(CASE WHEN u < 0.10 THEN 1.0 ELSE 0.0 END) AS fold_dwell FROM y GROUP BY 1),
-g AS (SELECT a.series_id, a.i AS j, var_pop(c.x) AS y FROM y a JOIN y c ON a.series_id = c.series_id AND c.i >= a.i AND c.i < a.i + a.w WHERE a.pre > 2 * a.w AND a.i < a.pre - a.w GROUP BY 1, 2), {_tau("tau", "g", "y")},
+g AS (SELECT a.series_id, a.i AS j, var_pop(c.x) AS y FROM y a JOIN y c ON a.series_id = c.series_id AND c.i >= a.i AND c.i < a.i + a.w WHERE a.pre > 2 * a.w AND a.i < a.pre - a.w GROUP BY 1, 2), {tau("tau", "g", "y")},
 o AS (SELECT b.*, coalesce(tau, 0) AS csd_var_rate FROM b LEFT JOIN tau USING (series_id))
 SELECT series_id, {_rounded(THEORY, 4)} FROM o"""
 
@@ -98,14 +84,14 @@ def _phi(name: str, k: int) -> str:
     return f"{name} AS (SELECT series_id, sum(ln(CAST(near AS DOUBLE) / (n - {k - 1}))) / any_value(n - {k - 1}) AS phi FROM (SELECT a.series_id, a.i, any_value(a.n) AS n, count(*) AS near FROM e a JOIN e b ON a.series_id = b.series_id AND {close} WHERE a.i < a.n - {k} AND b.i <= b.n - {k} GROUP BY 1, 2) GROUP BY 1)"
 
 
-_TEXTURE_SQL = f"""{_BASE}, {_smooth("r", 2, 20)}, {_smooth("q", 3, 8)},
+_TEXTURE_SQL = f"""{_BASE}, {residual("r", 2, 20)}, {residual("q", 3, 8)},
 l AS (SELECT *, CAST(floor(greatest(5, 0.4 * n)) AS INTEGER) AS n40, CAST(greatest(5, floor(0.3 * n)) AS INTEGER) AS w FROM r),
 h AS (SELECT *, i < n40 AS early, avg(r) OVER e AS rm, stddev_pop(r) OVER e AS rs FROM l WINDOW e AS (PARTITION BY series_id, i < n40)),
 hn AS (SELECT *, lead(r) OVER (PARTITION BY series_id, early ORDER BY i) AS nr FROM h),
 hh AS (SELECT series_id, early, sum((r - rm) * (nr - rm)) / sum((r - rm) * (r - rm)) AS ac, var_pop(r) AS va, avg(power((r - rm) / (rs + 1e-10), 3)) AS sk FROM hn GROUP BY 1, 2),
 st AS (SELECT DISTINCT series_id, w, j, CAST(floor(j * ((n - w) / CAST(9 AS DOUBLE))) AS INTEGER) AS s FROM l, range(0, 10) AS g(j)),
 wi AS (SELECT st.series_id, st.j, l.i, l.r, avg(l.r) OVER (PARTITION BY st.series_id, st.j) AS rm, lead(l.r) OVER (PARTITION BY st.series_id, st.j ORDER BY l.i) AS nr FROM st JOIN l ON l.series_id = st.series_id AND l.i >= st.s AND l.i < st.s + st.w),
-ww AS (SELECT series_id, j, sum((r - rm) * (nr - rm)) / sum((r - rm) * (r - rm)) AS ac, var_pop(r) AS va FROM wi GROUP BY 1, 2), {_tau("ta", "ww", "ac")}, {_tau("tv", "ww", "va")},
+ww AS (SELECT series_id, j, sum((r - rm) * (nr - rm)) / sum((r - rm) * (r - rm)) AS ac, var_pop(r) AS va FROM wi GROUP BY 1, 2), {tau("ta", "ww", "ac")}, {tau("tv", "ww", "va")},
 rf AS (SELECT series_id, var_pop(r) / (var_pop(x) + 1e-10) AS residual_var_frac FROM q GROUP BY 1),
 c AS (SELECT series_id, i, n, x - m AS c FROM p), lg AS (SELECT a.series_id, g.k, sum(a.c * b.c) AS top FROM c a, range(1, 21) AS g(k), c b WHERE b.series_id = a.series_id AND b.i = a.i + g.k AND g.k <= a.n // 4 GROUP BY 1, 2),
 de AS (SELECT lg.series_id, -regr_slope(ln(greatest(top / whole, 1e-6) + 1e-6), k) AS ac_decay_rate FROM lg JOIN (SELECT series_id, sum(c * c) AS whole FROM c GROUP BY 1) USING (series_id) GROUP BY 1),

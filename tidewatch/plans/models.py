@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators import curation, curves, ews, learn, scoring, simulate, skewed
-from tidewatch.plans.series_sql import S1, S4
+from tidewatch.plans.series_sql import PCHIP, S1, S4, residual, scaled, tau
 from tidewatch.registry import query, table
 from tidewatch.sources import series as S
 
@@ -68,14 +68,28 @@ def features_51(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.features(both.select("series_id", curves.resampled(F.col("v")).alias("x")).where(F.col("x").isNotNull()))
 
 
-@query("resample_100")
+@query("resample_100", f"WITH {S1}, {scaled('s1')}, {PCHIP} SELECT series_id, j, round(least(greatest(x, 0), 1), 6) AS x FROM h")
 def resample_100(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _arrays(S.segment_orders(spark, sf_dir)).select("series_id", curves.resampled(F.col("v")).alias("x"))
+    curves_of = _arrays(S.segment_orders(spark, sf_dir)).select("series_id", curves.resampled(F.col("v")).alias("x"))
+    return curves_of.select("series_id", F.posexplode("x").alias("j", "x")).select("series_id", "j", F.round("x", 6).alias("x"))
 
 
-@query("ews_trends")
+#: Trailing windows of a third of the series over its residuals, up to where its smoothed curve rises fastest.
+_TRENDS = f"""WITH {S4}, {scaled('s4')}, {residual('q', 2, 8)},
+a AS (SELECT *, greatest(5, n // 3) AS w, x - r AS trend FROM q),
+b AS (SELECT *, (coalesce(lead(trend) OVER o, trend) - coalesce(lag(trend) OVER o, trend)) / CASE WHEN i = 0 OR i = n - 1 THEN 1.0 ELSE 2.0 END AS rise, lead(r) OVER o AS nr FROM a WINDOW o AS (PARTITION BY series_id ORDER BY i)),
+c AS (SELECT *, max(rise) OVER (PARTITION BY series_id) AS top FROM b), p AS (SELECT *, min(CASE WHEN rise = top THEN i END) OVER (PARTITION BY series_id) AS pk FROM c),
+r AS (SELECT e.series_id, e.i AS j, var_pop(l.r) AS va, corr(CASE WHEN l.i < e.i THEN l.r END, CASE WHEN l.i < e.i THEN l.nr END) AS ac FROM p e JOIN p l ON l.series_id = e.series_id AND l.i > e.i - e.w AND l.i <= e.i WHERE e.i >= e.w - 1 AND e.i <= greatest(e.pk, e.w - 1) GROUP BY 1, 2),
+{tau('tv', 'r', 'va')}, {tau('ta', 'r', 'ac')},
+z AS (SELECT series_id, any_value(n) AS n, any_value(pk) / CAST(any_value(n) - 1 AS DOUBLE) AS t_takeoff, any_value(greatest(pk, w - 1) - w + 2) AS known FROM p GROUP BY 1)
+SELECT series_id, CAST(n AS INTEGER) AS n, round(t_takeoff, 6) AS t_takeoff, CASE WHEN known >= 4 THEN round(tv.tau, 6) END AS tau_var, CASE WHEN known >= 4 THEN round(ta.tau, 6) END AS tau_ac FROM z LEFT JOIN tv USING (series_id) LEFT JOIN ta USING (series_id)"""
+
+
+@query("ews_trends", _TRENDS)
 def ews_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ews.signals(_arrays(S.event_days(spark, sf_dir)))
+    """A series with under four windows before its takeoff has no trend."""
+    found = ews.signals(_arrays(S.event_days(spark, sf_dir)))
+    return found.select("series_id", "n", *[F.round(F.when(~F.isnan(c), F.col(c)), 6).alias(c) for c in ("t_takeoff", "tau_var", "tau_ac")])
 
 
 @query("ews_null_control")
