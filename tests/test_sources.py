@@ -1,5 +1,7 @@
 import hashlib
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from tidewatch.functions import columns as C
@@ -55,3 +57,24 @@ def test_no_transition_counts_the_unknown(spark):
     s = spark.createDataFrame([("a", 0.4, 0.1, 0.1), ("b", 0.9, None, 0.6)], "series_id string, rise double, s_score double, residual double")
     r = {x["series_id"]: (x["c1"], x["c2"], x["c3"], x["headline"], x["strict"]) for x in curation.no_transition(s).collect()}
     assert r == {"a": (True, False, False, True, False), "b": (False, True, True, True, False)}
+
+
+def test_caches_states_reports_and_arrays(spark, tmp_path):
+    made = []
+
+    def build():
+        made.append(1)
+        return spark.range(3)
+
+    for config, times in ((None, 1), (None, 1), ({"a": 1}, 2), ({"a": 1}, 2), ({"a": 2}, 3)):
+        assert S.built(spark, str(tmp_path / ("plain" if config is None else "by_config")), build, config).count() == 3 and len(made) == times
+    state = {"weights": np.arange(3.0), "names": ["a", "b"], "k": 2}
+    S.write_state(spark, state, str(tmp_path / "state"))
+    assert S.read_state(spark, str(tmp_path / "state")) == {"weights": [0.0, 1.0, 2.0], "names": ["a", "b"], "k": 2}
+    df = spark.createDataFrame([("x|y", 0.123456, None)], "a string, b double, c int")
+    assert S.markdown(df, "T") == "# T\n\n| a | b | c |\n| - | - | - |\n| x\\|y | 0.1235 |  |\n"
+    S.write_markdown(df, "T", str(tmp_path / "md"))
+    assert spark.read.option("wholetext", True).text(str(tmp_path / "md")).first()["value"].startswith("# T")
+    (tmp_path / "np").mkdir()
+    np.save(tmp_path / "np" / "a.npy", np.arange(6).reshape(3, 2))
+    assert [r["x"] for r in S.read_npy(spark, str(tmp_path / "np")).orderBy("row").collect()] == [[0.0, 1.0], [2.0, 3.0], [4.0, 5.0]]

@@ -114,9 +114,17 @@ def eta_squared(df: DataFrame, value: str, group: str, by: list[str]) -> DataFra
     return parts.groupBy(*by).agg((between / (total + 1e-12)).alias("eta2"))
 
 
-def nearest_centroid(df: DataFrame, vector: str, label: str, key: str) -> DataFrame:
-    """key, label and guess: the label of the nearest mean vector; ties go to the least label. The means, one a label, are broadcast."""
-    means = centroids(df, vector, label).groupBy(F.col(label).alias("guess")).agg(F.array_sort(F.collect_list(F.struct("j", "m"))).alias("c")).select("guess", F.col("c.m").alias("c"))
+def best_k(df: DataFrame, k: str, score: str, by: list[str]) -> DataFrame:
+    """For each group the least k of greatest score, and that score; NaN and null scores don't count, and without any other the least k."""
+    known = F.when(~F.isnan(score), F.col(score))
+    best = F.max_by(F.struct(F.col(k).alias("k"), known.alias("s")), F.when(known.isNotNull(), F.struct(known.alias("s"), (-F.col(k)).alias("k"))))
+    out = df.groupBy(*by).agg(best.alias("b"), F.min(k).alias("least"))
+    return out.select(*by, F.coalesce("b.k", "least").alias(k), F.col("b.s").alias(score))
+
+
+def nearest_centroid(df: DataFrame, vector: str, label: str, key: str, train: DataFrame | None = None) -> DataFrame:
+    """key, label and guess: the label of the nearest mean vector (of train's, if given); ties go to the least label. The means, one a label, are broadcast."""
+    means = centroids(df if train is None else train, vector, label).groupBy(F.col(label).alias("guess")).agg(F.array_sort(F.collect_list(F.struct("j", "m"))).alias("c")).select("guess", F.col("c.m").alias("c"))
     table = means.agg(F.collect_list(F.struct("guess", "c")).alias("means"))
     rows = df.select(key, label, vector).crossJoin(F.broadcast(table))  # the table is one row
     near = F.array_min(F.transform("means", lambda m: F.struct(F.round(F.aggregate(F.zip_with(F.col(vector), m["c"], lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x), 9).alias("d"), m["guess"].alias("guess"))))

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["curves", "tables", "models", "reports", "feature_sql"]
+MODULES = ["curves", "tables", "models", "reports", "feature_sql", "remaps"]
 
 
 def load() -> None:

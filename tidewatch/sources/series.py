@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import json
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,6 +131,51 @@ def read_cached_json(spark: SparkSession, path: str, field: str, fallback: float
     return df.select(F.col(field).alias("value"))
 
 
+def built(spark: SparkSession, path: str, build: Callable[[], DataFrame], config: dict | None = None) -> DataFrame:
+    """The Parquet table at path, built and written if it is absent or incomplete; with a config, one table a distinct config."""
+    if config is not None:
+        path = f"{path}/{hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:16]}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def write_state(spark: SparkSession, state: dict, path: str) -> None:
+    """A fitted model's parameters (numbers, texts, lists and arrays of them) as one JSON row."""
+    plain = json.dumps(state, default=lambda x: x.tolist(), sort_keys=True)
+    spark.createDataFrame([(plain,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_state(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.option("wholetext", True).text(path).first()["value"])
+
+
+def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
+    """A report table of `most` rows at most as Markdown; numbers have four significant digits."""
+    cell = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    rows = [[cell(v) for v in r] for r in df.limit(most).collect()]
+    return "\n".join([f"# {title}", "", *("| " + " | ".join(r) + " |" for r in [df.columns, ["-"] * len(df.columns), *rows])]) + "\n"
+
+
+def write_markdown(df: DataFrame, title: str, path: str) -> None:
+    df.sparkSession.createDataFrame([(markdown(df, title),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """(path, row, x) of the rows of one- or two-dimensional .npy files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, content in zip(b["path"], b["content"], strict=True):
+                x = np.load(io.BytesIO(content), allow_pickle=False)
+                x = x.reshape(len(x), -1)
+                yield pd.DataFrame({"path": name, "row": np.arange(len(x)), "x": x.astype(float).tolist()})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, row long, x array<double>")
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 of each file under a path."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
