@@ -634,6 +634,35 @@ def test_near_duplicates_of_short_texts(spark, full_bucket):
     assert pairs > 50 and [got[i] for i in range(len(texts))] == want
 
 
+def test_full_buckets_lose_no_edited_copy(spark):
+    # A passage that all texts have fills buckets with many classes; copies differ in up to a ninth of their words, all outside of it.
+    rng = random.Random(23)
+    passage, texts, want = sentence(rng, 90, 10**6).split(), [], []
+    for _ in range(30):
+        own = sentence(rng, 40, 10**6).split()
+        base = len(texts)
+        for edits in (0, 8, 13):
+            w = list(own)
+            for i in rng.sample(range(40), edits):
+                w[i] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(w[:20] + passage + w[20:]))
+            assert alike(texts[base], texts[-1])
+            want.append(base)
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_parities_differ_no_more_than_words(spark):
+    rng = random.Random(24)
+    for _ in range(50):
+        a, b = (sentence(rng, rng.randrange(1, 60), 30) for _ in range(2))
+        h, _, _, starts, _ = common.word_table([a, b])
+        labelled, first = near_dup.shingles(h, starts, 1)
+        sets = [set(labelled[first[i] : first[i + 1]].tolist()) for i in (0, 1)]
+        p = near_dup.parities(labelled, first)
+        assert sum(int(x).bit_count() for x in (p[:, 0] ^ p[:, 1]).view(np.uint64)) <= len(sets[0] ^ sets[1])
+
+
 def test_recall_of_edited_copies(spark):
     rng = random.Random(15)
     found, pairs, texts = collections.Counter(), collections.Counter(), []

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +42,15 @@ def shingles(h: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return mix(s + label * _STEP), first
 
 
+def parities(labelled: np.ndarray, first: np.ndarray, n: int = 16) -> np.ndarray:
+    """n rows of 64 bits for each text: whether an even or odd number of its labelled words falls on each bit. Two texts differ in no more bits than words."""
+    texts = len(first) - 1
+    doc = np.repeat(np.arange(texts), np.diff(first))
+    bit = (mix(labelled) % np.uint64(64 * n)).astype(np.int64)
+    odd = (np.bincount(doc * 64 * n + bit, minlength=texts * 64 * n) & 1).astype(np.uint8)
+    return np.ascontiguousarray(np.packbits(odd, bitorder="little").view("<i8").reshape(texts, n).T)
+
+
 def order_minhash(labelled: np.ndarray, seeds: np.ndarray, keep: int) -> np.ndarray:
     """For each seed: the `keep` shingles of least seeded hash, in the order of the text, as one hash."""
     n = len(labelled)
@@ -122,7 +132,7 @@ def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
     return cut(moved.unionByName(up.join(classes, "id", "left_anti")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, sketches: int = 32, keep: int = 3, full_bucket: int = 12, seed: int = 7, short: tuple[int, ...] = (12, 48), enough: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, sketches: int = 32, keep: int = 3, full_bucket: int = 12, seed: int = 7, short: tuple[int, ...] = (12, 48)) -> DataFrame:
     """Each document's class of near duplicates: id_col, class_id (the least id of the class), n_copies.
 
     Words are those of word_table, shingles `k` words. Documents of the same words are one text (of texts without words, the equal
@@ -133,12 +143,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     always alike enough, as are those with up to a ninth of their words changed. Classes are the connected components of the
     links. Texts are aligned with the leaders of
     their two largest buckets first; a leader is the text with most company in all of its buckets. Buckets of up to `full_bucket` texts
-    then give all of their pairs, and in larger ones every text is aligned with the leader, but for texts of one class by then. What larger buckets still hold in two classes or more then goes
-    through a join on rare shingles, which loses no pair whose shingles have a similarity of `least`, so no bucket is capped. Two such
-    texts share half of their 32 entries, and fewer than `enough` with a chance of 1 in 10,000; if they share a bucket that isn't a
-    larger one of several classes, they have met. So only texts with `enough` entries in such buckets go on: those that share one of 48
-    entries of eight shingles (which two such texts miss with a chance of 1 in 5,000) meet, or go to that join where many do. Pairs within a class,
-    whose alignment could change nothing, are never made. n_copies: the documents of the document's text.
+    then give all of their pairs, and in larger ones every text is aligned with the leader, but for texts of one class by then. Larger
+    buckets that still hold two classes or more give all pairs of texts of different classes too, but for those that too many words
+    differ in: a bound on that, which loses no pair of similarity `least`, is worked out in the join. So of the texts that share an
+    entry, whatever its bucket's size, only pairs that can't be alike and pairs within a class, whose alignment could change nothing,
+    aren't aligned. n_copies: the documents of the document's text.
 
     Null texts count as empty. Ids are taken as distinct; rows of one id and one text count once. Each row with a null id is a class of its own: class_id null, n_copies 1. An
     empty table gives no rows.
@@ -203,40 +212,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = with_b.join(rows.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(align, pairs_schema).dropDuplicates(["a", "b"]))
 
-    shingle_kind = T.StructType([T.StructField("id", kind), T.StructField("s", T.ArrayType(T.LongType()))])
+    sign_kind = T.StructType([T.StructField("id", kind), T.StructField("w", T.IntegerType()), *[T.StructField(f"g{j}", T.LongType()) for j in range(16)]])
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for low, high in slices(texts, 600_000):
                 h, _, _, starts, _ = word_table(texts[low:high])
-                labelled, first = shingles(h, starts, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(labelled.view(np.int64)))], names=shingle_kind.names)
-
-    fine_kind = T.StructType([T.StructField("id", kind), T.StructField("entries", T.ArrayType(T.LongType()))])
-    fine_seeds = rng.integers(1, 1 << 63, 48, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def fine_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in split(batches):
-            rows = [order_minhash(s.values.to_numpy().view(np.uint64), fine_seeds, 8).view(np.int64) for s in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=fine_kind.names)
-
-    def prefix_pairs(texts: DataFrame, parts: DataFrame) -> DataFrame:
-        """Pairs (a, b) of different parts that may be similar enough: of two texts that are, each shares one of its rarest shingles.
-
-        A text of n shingles shares least * n of them with any such partner, so one of its n - least * n + 1 rarest ones. Shingles that
-        no other text has are dropped from those, and with them all texts that are too unlike any other.
-        """
-        each = texts.mapInArrow(split, shingle_kind).select("id", F.explode("s").alias("s"))
-        counted = each.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("s")))
-        rare = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))
-        size = F.size("o")
-        prefix = rare.select("id", size.alias("n"), F.posexplode(F.slice("o", 1, (size - F.ceil(least * size - 1e-9) + 1).cast("int"))).alias("i", "p")).where(F.col("p.df") > 1)
-        keyed = cut(prefix.select("id", "n", "i", F.col("p.s").alias("s")).join(parts, "id"))
-        other = keyed.select("s", F.col("id").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("part").alias("other"))
-        # The first shared shingle leaves room for all that must be shared, on either side.
-        room = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= least / (1 + least) * (F.col("n") + F.col("m")) - 1e-9
-        return keyed.join(other, "s").where((F.col("id") < F.col("b")) & (F.col("part") != F.col("other")) & room).select(F.col("id").alias("a"), "b").distinct()
+                signs = parities(*shingles(h, starts, 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(starts).astype(np.int32)), *map(pa.array, signs)], names=sign_kind.names)
 
     # Texts with many entries in full buckets are near the middle of their group, so they lead.
     popular = left.groupBy("id").agg(F.sum(F.ln("n")).alias("weight"))
@@ -261,16 +245,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             each = groups.select(F.posexplode(F.array_sort("xs")).alias("at", "x"), F.array_sort("xs").alias("xs"))
             return each.select("x", F.explode(F.expr("filter(slice(xs, at + 2, size(xs)), y -> y.part != x.part)")).alias("y")).select(*ends)
 
-        def meet(entries: DataFrame, leaders: DataFrame) -> DataFrame:
-            """Pairs (a, pa, b, pb) of texts and of their buckets' leaders (h, n, head, head_part), where their parts differ."""
+        def apart(entries: DataFrame, leaders: DataFrame) -> DataFrame:
+            """(h, n, x, y): texts x (id, part) and their bucket's leader y, of (h, head, head_part), where their parts differ."""
             each = leaders.select("h", F.struct(F.col("head").alias("id"), F.col("head_part").alias("part")).alias("y"), each_salt)
-            led = entries.select("h", salt, F.struct("id", "part").alias("x")).join(each, ["h", "salt"]).where(F.col("x.part") != F.col("y.part"))
-            return led.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).select(*ends)
+            return entries.select("h", "n", salt, F.struct("id", "part").alias("x")).join(each, ["h", "salt"]).where(F.col("x.part") != F.col("y.part")).drop("salt")
 
-        def mixed(entries: DataFrame) -> DataFrame:
-            """Of (id, part, h, n): those in buckets of several parts."""
-            several = entries.groupBy("h", "n").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).where(F.col("_a") != F.col("_b")).select("h", each_salt)
-            return entries.select("id", "part", "h", "n", salt).join(several, ["h", "salt"], "left_semi").select("id", "part", "h", "n")
+        def meet(entries: DataFrame, leaders: DataFrame) -> DataFrame:
+            """Pairs (a, pa, b, pb) of texts and of their buckets' leaders, where their parts differ."""
+            return apart(entries, leaders).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).select(*ends)
+
+        def possible(odd: DataFrame, inside: DataFrame) -> DataFrame:
+            """Pairs (a, pa, b, pb) of odd entries' texts (h, n, id, part) with those inside the same buckets (h, salt, id, part), of different parts, but for pairs that can't be alike.
+
+            Two texts of n and m words that are alike have at most (n + m) * (1 - least) / (1 + least) words that the other one hasn't, and
+            no more parities of words that differ.
+            """
+            signs = cut(only(texts_of, inside.select("id").distinct()).mapInArrow(sign, sign_kind))
+            bits = sign_kind.names[2:]
+            one = odd.join(signs, "id").select("h", each_salt, F.struct("id", "part").alias("p"), F.col("w").alias("v"), *[F.col(g).alias(f"o{g}") for g in bits])
+            two = inside.join(signs, "id").select("h", "salt", F.struct("id", "part").alias("q"), "w", *bits)
+            most = (1 - least) / (1 + least) * (F.col("v") + F.col("w")) + 1e-9
+            differ = reduce(Column.__add__, [F.bit_count(F.col(g).bitwiseXOR(F.col(f"o{g}"))) for g in bits])
+            near = one.join(two, ["h", "salt"]).where((F.col("p.part") != F.col("q.part")) & (F.abs(F.col("v") - F.col("w")) <= most) & (differ <= most))
+            return near.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).select(*ends).distinct()
 
         # Texts first meet the leaders of their two largest buckets.
         largest = texts.select("id", F.col("id").alias("part"), F.explode(F.slice("full", 1, 2)).alias("e")).select("id", "part", "e.*")
@@ -280,26 +277,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         placed = cut(parts_of(texts, classes))
         of_small = placed.select(F.struct("id", "part").alias("x"), F.explode("small").alias("h")).groupBy("h").agg(F.collect_set("x").alias("xs"))
         both = pairs_in(of_small.where(F.size(F.array_distinct(F.transform("xs", lambda x: x["part"]))) > 1))
-        rest = cut(mixed(placed.select("id", "part", F.explode("full").alias("e")).select("id", "part", "e.*")))
-        more = cut(both.unionByName(meet(rest, parts_of(lead, classes, "head", "head_part"))).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+        of_full = lambda placed: placed.select("id", "part", F.explode("full").alias("e")).select("id", "part", "e.*")
+        more = cut(both.unionByName(meet(of_full(placed), parts_of(lead, classes, "head", "head_part"))).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
         tried = pairs.select("a", "b").unionByName(more.select("a", "b"))
         classes = joined_classes(classes, verified(more.select("a", "b")).join(more, ["a", "b"]).select("pa", "pb").distinct())
-        # What is left are full buckets of two classes or more. Only texts with `enough` entries in such buckets go on.
-        rest = parts_of(rest.drop("part"), classes)
-        for _ in range(2):
-            inside = mixed(rest)
-            rest = cut(inside.join(inside.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= enough).select("id"), "id", "left_semi"))
-        rest = cut(rest.select("id", "part").distinct())
-        if not is_empty(rest):
-            # They have entries of more shingles, which texts that share a passage only don't have in common.
-            finer = only(texts_of, rest.select("id")).mapInArrow(fine_sketch, fine_kind).select("id", F.explode("entries").alias("h")).join(rest, "id")
-            groups = cut(finer.groupBy("h").agg(F.collect_set(F.struct("id", "part")).alias("xs")).where(F.size(F.array_distinct(F.transform("xs", lambda x: x["part"]))) > 1))
-            few = pairs_in(groups.where(F.size("xs") <= full_bucket)).select("a", "b")
-            many = cut(groups.where(F.size("xs") > full_bucket).select(F.explode("xs").alias("x")).select("x.*").distinct())
-            more = few if is_empty(many) else few.unionByName(prefix_pairs(only(texts_of, many.select("id")), many))
-            found = verified(cut(more.distinct().join(tried, ["a", "b"], "left_anti")))
-            of = lambda end: rest.select(F.col("id").alias(end), F.col("part").alias("p" + end))
-            classes = joined_classes(classes, found.join(of("a"), "a").join(of("b"), "b").select("pa", "pb").distinct())
+        # What is left are full buckets of two classes or more: some text's class isn't the leader's.
+        placed = cut(parts_of(texts.select("id", "full"), classes))
+        odd = cut(apart(of_full(placed), parts_of(lead, classes, "head", "head_part")).select("h", "n", "x.*"))
+        if not is_empty(odd):
+            inside = cut(of_full(placed).select("id", "part", "h", salt).join(odd.select("h", "n").distinct().select("h", each_salt), ["h", "salt"], "left_semi"))
+            more = cut(possible(odd, inside).join(tried, ["a", "b"], "left_anti"))
+            classes = joined_classes(classes, verified(more.select("a", "b")).join(more, ["a", "b"]).select("pa", "pb").distinct())
     if classes is None:
         known = members.select("same", F.col("rep").alias("class"), "n_copies")
     else:
