@@ -450,6 +450,17 @@ def test_a_passage_twice_in_one_document_is_found_twice(spark, hot):
     assert [covered[i] for i in range(len(texts))] == [set(), *places]
 
 
+@pytest.mark.parametrize("hot", [{}, {"hot_sample": 1, "hot_count": 2, "hot_parts": 3}])
+def test_parts_in_later_texts_hide_no_passage(spark, hot):
+    # Each 4-mer of the passage is in a text of its own between the two that have all of it.
+    rng = random.Random(25)
+    fresh = lambda n: sentence(rng, n, 10**6).split()
+    p = fresh(60)
+    texts = [fresh(20) + p + fresh(10), *[fresh(30) + p[i : i + 5] + fresh(30) for i in range(0, 56, 2)], fresh(25) + p + fresh(30)]
+    out = substring.passages(docs(spark, [" ".join(t) for t in texts]), **hot).collect()
+    assert [(r["doc_id"], r["first"], r["end"], r["other"], r["other_first"], r["other_end"], r["n_same"]) for r in out] == [(len(texts) - 1, 25, 85, 0, 20, 80, 60)]
+
+
 def test_parts_of_a_partly_rewritten_copy_are_found(spark):
     rng = random.Random(12)
     fresh = lambda n: sentence(rng, n, 10**6).split()
