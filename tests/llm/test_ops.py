@@ -322,6 +322,56 @@ def test_copies_are_not_each_others_neighbours(spark):
     assert all(long in out[60 + i] for i in range(5)) and {out[70 + i] for i in range(3)} == {"text\nlinked words"}
 
 
+def test_differencing_finds_the_slot_that_varies(spark):
+    """Menus, adverts and footers that no neighbour shares and no name tells are parted from the text by where a host's pages vary."""
+    rng = random.Random(22)
+    rows, want = [], {}
+    for i in range(60):
+        host = "abc"[i % 3]
+        own = [sentence(rng, 30, 10**6) for _ in range(rng.randrange(1, 6))]
+        menu = "".join(f"<li><a href=x>{sentence(rng, 1, 10**6)}</a>" for _ in range(5))
+        ad, foot = sentence(rng, 5, 10**6), sentence(rng, 4, 10**6)
+        posts = "".join(f'<div class="c2" id="p{i}"><p>{x}</p></div>' for x in own)
+        body = {"a": f"<div><ul>{menu}</ul></div><div>{ad}</div><div><p>{'<p>'.join(own)}</div><div>{foot}</div>", "b": f'<div class="c1">{ad}</div><div class="banner"><p>{foot}</p></div><h1>Title {i}</h1>{posts}', "c": f"<div>{ad}</div><div class=story><p>{'<p>'.join(own)}<div class=comments>{foot}</div></div>"}[host]
+        rows.append((i, f"http://{host}.example/{rng.randrange(10**6)}", f"<body><div>Site name</div>{body}</body>"))
+        want[i] = "\n".join([f"Title {i}"] * (host == "b") + own)
+    for most in (500_000, 0):
+        out = pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), broadcast_rows=most).collect()
+        assert {r["page_id"]: r["text"] for r in out} == want and all(r["by_difference"] for r in out)
+
+
+def test_differencing_and_elements(spark):
+    rng = random.Random(23)
+    rows, want = [], {}
+
+    def add(host, own, page):
+        rows.append((len(rows), f"http://{host}.example/{rng.randrange(10**6)}", page))
+        want[len(rows) - 1] = own
+
+    for i in range(24):
+        own, short = sentence(rng, 30, 10**6), sentence(rng, 3, 10**6)
+        # A notice in the main element that all pages have goes; a quoted sentence stays.
+        add("notice", f"{own}\n{short}\nquoted", f"<main><div>Read our terms</div><div><p>{own}</p></div><p>{short}</p><p>quoted</p></main>")
+        # Teasers are article elements here, the text is not: differencing decides where it is sure.
+        add("teasers", own, f"<div class=text>{own}</div><article>{short}</article>")
+        if i < 5:
+            add("few", short, f"<div class=text>{own}</div><article>{short}</article>")
+            # Comments outweigh the text.
+            add("talk", short, f"<div class=text>{short}</div><div class=comments>{own}</div>")
+    out = pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    assert {r["page_id"]: r["text"] for r in out} == want
+    assert {r["url"].split("/")[2] for r in out if r["by_difference"]} == {"notice.example", "teasers.example"}
+
+
+def test_given_pages_without_names(spark):
+    """The given pages' articles are found by differencing alone on hosts of four pages, but for paragraphs that the nearest page has too."""
+    given = common.plain(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), "page_id", "url", "html")
+    bare = F.regexp_replace(F.regexp_replace("html", "<(nav|article|footer|div class=.ad.)>", "<div>"), "</(nav|article|footer)>", "</div>")
+    want = {r["page_id"]: r["text"].split("\n") for r in pages.main_text(given).collect()}
+    out = [(r["text"].split("\n"), want[r["page_id"]]) for r in pages.main_text(given.withColumn("html", bare)).collect() if r["by_difference"]]
+    assert len(out) >= 150 and sum(a == b for a, b in out) >= 0.9 * len(out) and all(set(a) <= set(b) for a, b in out)
+
+
 # --- URLs --------------------------------------------------------------------------------------------------------
 
 
