@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +51,39 @@ def test_word_table_splits_like_the_pattern():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_lean_gives_back_what_a_task_has_freed():
+    def held_mb():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"Pss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+    pins = []
+
+    @common.lean
+    def run(batches):
+        for batch in batches:
+            blocks = [np.ones(12_000) for _ in range(2000)]  # 192 MB, in blocks too small to be mapped one by one
+            pins.append(np.ones(12_000))  # above them, so that what is free lies below it
+            yield batch
+            del blocks
+
+    before, most = held_mb(), 0
+    for batch in run(iter(["x", "y"])):
+        assert batch in "xy"
+        most = max(most, held_mb())
+    assert most > before + 150
+    assert held_mb() < before + 60
+
+
+def test_batches_of_long_texts_are_small(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    texts = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1_000_000).alias("text"))
+    common.text_batches(texts)
+    assert max(r["n"] for r in texts.mapInArrow(sizes, "n long").collect()) < 7_000_000
+
+
 # --- sharding ----------------------------------------------------------------------------------------------------
 
 
@@ -214,6 +248,18 @@ def test_leaks_are_cut(spark):
     assert out == {0: "Start, End here.", 2: "clean Text", 3: None}
 
 
+def test_contamination_makes_no_rows_in_python(spark, monkeypatch):
+    d = docs(spark, ["one two three four five six seven eight nine", "", None])
+    bench = spark.createDataFrame([(1, "two three four five six seven eight nine")], "item_id long, text string")
+
+    def refuse(*args, **named):
+        raise AssertionError("rows from Python take workers on the executors")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refuse)
+    out = decontamination.contamination(d, bench).collect()
+    assert sorted((r["doc_id"], r["n_words"], [tuple(s) for s in r["spans"]], r["item_ids"]) for r in out) == [(0, 9, [(1, 8)], ["1"]), (1, 0, [], []), (2, 0, [], [])]
+
+
 # --- language ----------------------------------------------------------------------------------------------------
 
 

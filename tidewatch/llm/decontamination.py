@@ -73,7 +73,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         short = known.where(F.col("n") == m).select("w", "items", "n", F.explode(grams("n", "hw", m)).alias("p"))
         index = index.unionByName(short.select(F.col("w").alias("win"), "items", F.col("n").alias("m"), F.shiftright("p", PLACE_BITS).alias("h"), F.lit(0).alias("inside")))
     small = windows.count() <= broadcast_rows
-    none = docs.sparkSession.createDataFrame([([], [], 0, -1, 0)], "win array<string>, items array<string>, m int, h long, inside int")
+    # Not createDataFrame(): its rows would take Python workers on the executors.
+    no_words = F.expr("cast(array() AS array<string>)")
+    none = docs.sparkSession.range(1).select(no_words.alias("win"), no_words.alias("items"), F.lit(0).alias("m"), F.lit(-1).cast("long").alias("h"), F.lit(0).alias("inside"))
 
     base = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     split = hashes(base.select("id", "key", held(words(F.col("text")), "w")))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import cut, is_empty, mix, only, slices, text_batches, word_table
+from tidewatch.llm.common import cut, is_empty, lean, mix, only, slices, text_batches, word_table
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -160,6 +160,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = T.StructType([T.StructField("id", kind), T.StructField("same", T.BinaryType()), T.StructField("entries", T.ArrayType(T.LongType()))])
     texts_of = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
+    @lean
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -187,6 +188,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pairs_schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("similarity", T.DoubleType())])
 
+    @lean
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -214,6 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     sign_kind = T.StructType([T.StructField("id", kind), T.StructField("w", T.IntegerType()), *[T.StructField(f"g{j}", T.LongType()) for j in range(16)]])
 
+    @lean
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut, slices, text_batches
+from tidewatch.llm.common import cut, lean, slices, text_batches
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -59,6 +59,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     kind = pa.int64() if docs.schema[id_col].dataType.simpleString() == "bigint" else None
     tail = np.array([end_id], "<u4").tobytes()
 
+    @lean
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, cut_so_far = Encoder(path), TaskContext.get().partitionId(), Counter()
         for batch in batches:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import mix, sampled, slices, text_batches, word_table
+from tidewatch.llm.common import lean, mix, sampled, slices, text_batches, word_table
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -154,6 +154,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, text_col
     schema = T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())])
     column = kept.columns.index(text_col)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(column).to_pylist()
