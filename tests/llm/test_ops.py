@@ -966,3 +966,14 @@ def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_filter_bits_reach_the_driver_packed(spark):
+    h = np.random.default_rng(5).integers(-(1 << 63), (1 << 63) - 1, 5000)
+    rows = spark.createDataFrame([(int(v),) for v in h], "h long")
+    slots, shifts = 1 << 20, (0, 18, 37)
+    bits = np.unpackbits(substring.filter_bits(rows, slots, shifts))
+    want = np.zeros(slots, np.uint8)
+    for j in shifts:
+        want[((h.view(np.uint64) >> np.uint64(j)) % np.uint64(slots)).astype(np.int64)] = 1
+    assert len(bits) == slots and (bits == want).all()
