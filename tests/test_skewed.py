@@ -42,3 +42,15 @@ def test_online_rolling_equals_batch(spark, tmp_path):
     q.stop()
     got = {r["t"]: r["var"] for r in spark.table("online_rolling").collect()}
     assert set(got) == set(range(9, 30)) and all(abs(got[t] - v[t - 9 : t + 1].var()) < 1e-9 for t in got)
+
+
+def test_bimodality_scan_can_find_two_modes(spark):
+    from tidewatch import plans, registry
+
+    plans.load()
+    found = registry.QUERIES["bimodality_scan"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r["share"], r["n"]) for r in found) == [(0.4, 200), (0.6, 300), (0.8, 400), (1.0, 500)]
+    assert all(abs(r["p"] * 201 - round(r["p"] * 201)) < 1e-9 for r in found)
+    g = np.random.default_rng(3)
+    rows = [(float(v), float(i % 7)) for i, v in enumerate(np.concatenate([g.normal(0, 1, 90), g.normal(8, 1, 90)]))]
+    assert all(r["bimodal"] for r in skewed.bimodality_scan(spark.createDataFrame(rows, "v double, o double"), "v", "o").collect())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -128,21 +129,33 @@ def two_normals(x: np.ndarray, rounds: int = 200) -> tuple[float, float]:
 
 
 def bimodality_scan(df: DataFrame, value: str, order: str, shares: tuple[float, ...] = (1.0, 0.8, 0.6, 0.4), draws: int = 200, seed: int = 0) -> DataFrame:
-    """For the highest `share` of a small table by `order`: n, dip, its p-value against uniform samples, BIC gain of two normals, lesser weight, and whether two modes are found."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x_all = pdf.sort_values([order, value], ascending=False, kind="stable")[value].to_numpy(float)
-        out = []
-        for share in shares:
-            x = x_all[: max(3, round(share * len(x_all)))]
-            d = K.dip(x)
-            null = [K.dip(K.random(seed, len(x), i).uniform(size=len(x))) for i in range(draws)]
-            p = (1 + sum(v >= d for v in null)) / (1 + draws)
-            gain, least = two_normals(x)
-            out.append((share, len(x), d, p, gain, least, bool(p < 0.05 and gain > 0 and least >= 0.10 and len(x) >= 50)))
-        return pd.DataFrame(out, columns=["share", "n", "dip", "p", "gain", "least", "bimodal"])
-
-    return df.select(value, order, F.lit(1).alias("_g")).groupBy("_g").applyInPandas(lambda pdf: run(pdf), "share double, n int, dip double, p double, gain double, least double, bimodal boolean")
+    """For the highest `share` of a table by `order`: n, dip, its p-value against uniform samples, BIC gain of two normals, lesser weight, and whether two modes are found.
+
+    A share is a task, which holds its two columns; the uniform samples, made where they are used, are dealt out one by one.
+    """
+    total = df.count()
+    sizes = [max(3, round(share * total)) for share in shares]
+
+    def measured(pdf: pd.DataFrame) -> pd.DataFrame:
+        i = int(pdf["i"].iloc[0])
+        x = pdf.sort_values([order, value], ascending=False, kind="stable")[value].to_numpy(float)[: sizes[i]]
+        gain, least = two_normals(x)
+        return pd.DataFrame([(i, shares[i], len(x), K.dip(x), gain, least)], columns=["i", "share", "n", "dip", "gain", "least"])
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            size = [min(sizes[i], total) for i in b["i"]]
+            yield pd.DataFrame({"i": b["i"], "null_dip": [K.dip(K.random(seed, n, d).uniform(size=n)) for n, d in zip(size, b["draw"], strict=True)]})
+
+    spark = df.sparkSession
+    each = F.explode(F.array(*[F.lit(i) for i in range(len(shares))])).alias("i")
+    own = df.select(F.col(value), F.col(order), each).groupBy("i").applyInPandas(lambda pdf: measured(pdf), "i int, share double, n int, dip double, gain double, least double")
+    jobs = len(shares) * draws
+    null = spark.range(0, jobs, 1, max(1, min(jobs, 100))).select((F.col("id") % len(shares)).cast("int").alias("i"), F.floor(F.col("id") / len(shares)).cast("int").alias("draw")).mapInPandas(drawn, "i int, null_dip double")
+    found = own.join(null.groupBy("i").agg(F.collect_list("null_dip").alias("null_dips")), "i", "left")
+    p = (1 + F.coalesce(F.size(F.filter("null_dips", lambda v: v >= F.col("dip"))), F.lit(0))) / (1 + draws)
+    two = (F.col("p") < 0.05) & (F.col("gain") > 0) & (F.col("least") >= 0.10) & (F.col("n") >= 50)
+    return found.withColumn("p", p).select("share", "n", "dip", "p", "gain", "least", two.alias("bimodal"))
 
 
 def random_kernels(n: int, length: int, seed: int = 0) -> list[tuple[np.ndarray, float, int]]:
