@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +130,19 @@ def test_silhouette_takes_all_rows(spark):
     rows = spark.createDataFrame([(i, int(c), x.tolist()) for i, (c, x) in enumerate(zip(label, v, strict=True))], "k long, l int, v array<double>")
     for block in (8192, 1000):
         assert abs(scoring.silhouette(rows, "v", "l", "k", block=block).first()[0] - want) < 1e-9
+
+
+def test_greedy_copies_of_a_large_group(spark):
+    g = np.random.default_rng(6)
+    x = g.normal(size=(60, 6))[g.integers(0, 60, 1200)] + g.normal(0, 0.4, (1200, 6))
+    x[::97] = g.integers(0, 3, (len(x[::97]), 1))  # flat ones
+    kept, flat = [], x.std(axis=1) < 1e-12
+    with np.errstate(invalid="ignore", divide="ignore"):
+        same = np.corrcoef(x) >= 0.98
+    for i, v in enumerate(x):
+        if not any(np.allclose(v, x[j]) if flat[i] or flat[j] else same[i, j] for j in kept):
+            kept.append(i)
+    df = spark.createDataFrame([(None, i, v.tolist()) for i, v in enumerate(x)] + [("h", 9999, [1.0, 2.0])], "g string, ord int, x array<double>")
+    began = time.perf_counter()
+    assert sorted(r["ord"] for r in curation.drop_near_copies(df, ["g"], least=0.98).collect()) == [*kept, 9999]
+    assert time.perf_counter() - began < 20

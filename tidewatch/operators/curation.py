@@ -53,25 +53,75 @@ def gate(df: DataFrame, disruptions: DataFrame, least: int = 10, longest_gap: in
 def drop_near_copies(df: DataFrame, by: list[str], order: str = "ord", least: float = 0.9999) -> DataFrame:
     """Of series whose curves x correlate by `least` or more within a group, the first by `order`; a dropped one drops no other.
 
-    Groups (a technology in a region) are small. Flat curves are copies of each other if they are equal.
+    Flat curves are copies of each other if they are equal; curves of different lengths are none. A group's rows stream through one task,
+    in order; it holds the curves that it has kept, and compares a batch with all of them at once.
     """
-    schema = df.schema
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        kept: list[int] = []
-        curves = [np.asarray(x, float) for x in group["x"]]
-        for i, x in enumerate(curves):
-            for j in kept:
-                y = curves[j]
-                same = np.allclose(x, y) if x.std() < 1e-12 or y.std() < 1e-12 else np.corrcoef(x, y)[0, 1] >= least
-                if len(x) == len(y) and same:
-                    break
-            else:
-                kept.append(i)
-        return group.iloc[kept]
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    def grouped(b: pd.DataFrame) -> Iterator[tuple[tuple, pd.DataFrame]]:
+        for key, part in b.groupby(by, dropna=False, sort=False):
+            yield tuple(None if pd.isna(v) else v for v in (key if isinstance(key, tuple) else (key,))), part
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, kept = None, {}
+        for b in batches:
+            for key, part in grouped(b):
+                if key != now:
+                    now, kept = key, {}
+                for low in range(0, len(part), 1024):
+                    yield _first_of_copies(part[low : low + 1024], kept, least)
+
+    return df.repartition(*by).sortWithinPartitions(*by, order).mapInPandas(run, df.schema)
+
+
+class _Kept:
+    """Curves of one length that were kept: as they are, and centred, of norm 1; each in a table that doubles when it is full."""
+
+    def __init__(self, width: int):
+        self.n, self.curves, self.units, self.flat = 0, np.zeros((64, width)), np.zeros((64, width)), np.zeros(64, bool)
+
+    def add(self, x: np.ndarray, unit: np.ndarray, flat: bool) -> None:
+        if self.n == len(self.flat):
+            self.curves, self.units, self.flat = (np.concatenate([v, np.zeros_like(v)]) for v in (self.curves, self.units, self.flat))
+        self.curves[self.n], self.units[self.n], self.flat[self.n] = x, unit, flat
+        self.n += 1
+
+
+def _first_of_copies(part: pd.DataFrame, kept: dict[int, _Kept], least: float) -> pd.DataFrame:
+    """The rows of part, in order, that are copies of no kept curve and of none before them in part; they are added to kept, by length."""
+    keep = np.zeros(len(part), bool)
+    curves = [np.asarray(x, float) for x in part["x"]]
+    sizes = np.array([x.size for x in curves])
+    for width in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == width)
+        before = kept.setdefault(width, _Kept(width))
+        x = np.stack([curves[i].ravel() for i in own])
+        sd = x.std(axis=1) if width else np.zeros(len(own))
+        flat = sd < 1e-12
+        z = x - x.mean(axis=1, keepdims=True) if width else x
+        z = z / np.where(flat, 1, np.sqrt((z * z).sum(axis=1)))[:, None]
+
+        def same(i: int, y: np.ndarray, near: bool) -> bool:
+            return bool(np.allclose(x[i], y)) if near else bool(np.corrcoef(x[i], y)[0, 1] >= least)  # noqa: B023
+
+        # Within rounding of the bound, and for flat curves, pairs are compared as such.
+        first = before.n
+        found = z @ before.units[:first].T
+        with_flat = np.flatnonzero(before.flat[:first])
+        found[:, with_flat] = -2
+        settled = ((found >= least + 1e-9) & ~flat[:, None]).any(axis=1)
+        for i, at in enumerate(own.tolist()):
+            if settled[i]:
+                continue
+            r = np.concatenate([found[i], before.units[first : before.n] @ z[i]])
+            if flat[i]:
+                copy = any(same(i, y, True) for y in before.curves[: before.n])
+            else:
+                apart = before.flat[: before.n]
+                copy = bool((r[~apart] >= least + 1e-9).any()) or any(same(i, before.curves[j], False) for j in np.flatnonzero(~apart & (np.abs(r - least) < 1e-9))) or any(same(i, before.curves[j], True) for j in np.flatnonzero(apart))
+            if not copy:
+                keep[at] = True
+                before.add(x[i], z[i], bool(flat[i]))
+    return part[keep]
 
 
 def shape_scores(df: DataFrame, low: tuple[float, float] = (0.5, 0.0), high: tuple[float, float] = (80.0, 1.0)) -> DataFrame:
