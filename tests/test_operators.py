@@ -146,3 +146,26 @@ def test_greedy_copies_of_a_large_group(spark):
     began = time.perf_counter()
     assert sorted(r["ord"] for r in curation.drop_near_copies(df, ["g"], least=0.98).collect()) == [*kept, 9999]
     assert time.perf_counter() - began < 20
+
+
+def test_silhouettes_of_several_labels_at_once(spark):
+    rng = np.random.default_rng(8)
+    rows = [(None if i == 5 else i // 2 if i < 20 else i, None if i % 30 == 0 else i % 3, i % 2, None if i % 41 == 0 else rng.normal(i % 3, 1, 2).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, a int, b int, v array<double>")
+    both = scoring.silhouettes(df, "v", ["a", "b"], "k", block=256).first()
+    d = np.array([r[3] or [np.nan] * 2 for r in rows])
+    d = np.sqrt(((d[:, None] - d[None]) ** 2).sum(2))
+    for c, at in (("a", 1), ("b", 2)):
+        sums = {}
+        for i, x in enumerate(rows):
+            for j, y in enumerate(rows):
+                if x[0] is not None and y[0] is not None:
+                    s = sums.setdefault((x[0], x[at]), {}).setdefault(y[at], [])
+                    if x[0] != y[0] and not np.isnan(d[i, j]):
+                        s.append(d[i, j])
+        scores = []
+        for (_, own), by in sums.items():
+            means = {other: np.mean(s) for other, s in by.items() if s and other is not None}
+            a, b = means.get(own), min((m for other, m in means.items() if other != own), default=None)
+            scores.append(0.0 if own is None or a is None or b is None else (b - a) / max(a, b))
+        assert abs(both[c] - np.mean(scores)) < 1e-9

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions.columns import correlation
 
@@ -131,42 +132,104 @@ def nearest_centroid(df: DataFrame, vector: str, label: str, key: str, train: Da
     return rows.select(key, label, near["guess"].alias("guess"))
 
 
-def silhouette(df: DataFrame, vector: str, label: str, key: str, block: int = 8192) -> DataFrame:
-    """One row: the mean Euclidean silhouette over all pairs of rows.
+def silhouette(df: DataFrame, vector: str, label: str, key: str, block: int = 32768) -> DataFrame:
+    """One row: the mean Euclidean silhouette over all pairs of rows; see silhouettes."""
+    return silhouettes(df, vector, [label], key, block).withColumnRenamed(label, "silhouette")
 
-    Rows are dealt into blocks of about `block` by a hash of their key; each pair of blocks is a group, which gives every row's sum of
-    distances to the other block's rows by label. Rows of one key aren't compared; null keys are left out; null vectors have no distance.
+
+def silhouettes(df: DataFrame, vector: str, labels: list[str], key: str, block: int = 32768) -> DataFrame:
+    """One row: for each column of labels, the mean Euclidean silhouette over all pairs of rows; distances are worked out once for all of them.
+
+    Rows are dealt into blocks of about `block` by a hash of their key (fewer, if they are long), each packed as one matrix. Each pair of
+    blocks is a task, which sums both blocks' distances by label; a block's sums are then added up. Rows of one key aren't compared;
+    null keys are left out; null vectors, and those with values that aren't finite numbers or of lesser length, have no distance.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(vector).cast("array<double>").alias("v")).where(F.col("k").isNotNull())
-    blocks = max(1, -(-rows.count() // block))
-    own, each = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    mine = rows.select(own.alias("a"), each.alias("b"), F.lit(True).alias("mine"), "*")
-    theirs = rows.select(each.alias("a"), own.alias("b"), F.lit(False).alias("mine"), "*")
-    kinds = dict(rows.dtypes)
-    schema = f"k {kinds['k']}, l {kinds['l']}, l2 {kinds['l']}, s double, n bigint"
+    names = [f"l{i}" for i in range(len(labels))]
+    rows = df.select(F.col(key).alias("k"), *[F.col(c).alias(n) for c, n in zip(labels, names, strict=True)], F.col(vector).cast("array<double>").alias("v")).where(F.col("k").isNotNull())
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width"), *[F.array_sort(F.collect_set(n)).alias(n) for n in names]).first()
+    width, ends = max(facts["width"] or 0, 0), np.cumsum([0, *[len(facts[n]) for n in names]])
+    most = max(256, min(block, (2 << 20) // max(width, 1), (4 << 20) // max(int(ends[-1]), 1)))
+    blocks = max(1, -(-facts["n"] // most), min(16, -(-facts["n"] // 512)))
+    codes = [(F.coalesce(F.array_position(F.array(*[F.lit(v) for v in facts[n]]).cast(T.ArrayType(rows.schema[n].dataType)), F.col(n)), F.lit(0)) - 1).cast("int").alias(n) for n in names]
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array([v if v is not None and len(v) == width else np.full(width, np.nan) for v in pdf["v"]], float).reshape(len(pdf), width)
+        x[~np.isfinite(x).all(1)] = np.nan
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "x": [x.tobytes()], "codes": [pdf[names].to_numpy(np.int32).tobytes()], "keys": [pd.factorize(pdf["k"])[0].astype(np.int32).tobytes()]})
+
+    def unpacked(x: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors, which of them have distances, and 1.0 at the place of each label of those that have."""
+        code = np.frombuffer(codes, np.int32).reshape(-1, len(names))
+        v = np.frombuffer(x, float).reshape(len(code), width)
+        known = ~np.isnan(v).any(1)
+        ones = np.zeros((len(code), ends[-1]))
+        for i in range(len(names)):
+            at = np.flatnonzero(known & (code[:, i] >= 0))
+            ones[at, ends[i] + code[at, i]] = 1
+        return np.where(known[:, None], v, 0), known, ones
 
     def sums(pair: pd.DataFrame) -> pd.DataFrame:
-        x, y = pair[pair["mine"]], pair[~pair["mine"]]
-        out = [pd.DataFrame({"k": x["k"][:0], "l": x["l"][:0], "l2": y["l"][:0], "s": np.zeros(0), "n": np.zeros(0, np.int64)})]
-        width = max((len(v) for v in pair["v"] if v is not None), default=0)
-        table = lambda vs: np.array([v if v is not None and len(v) == width else np.full(width, np.nan) for v in vs], float).reshape(len(vs), width)
-        q, codes = table(y["v"]), pd.factorize(y["l"], use_na_sentinel=False)
-        for low in range(0, len(x) if len(y) else 0, 256):
-            part = x[low : low + 256]
-            p = table(part["v"])
-            d = np.sqrt(np.maximum((p * p).sum(1)[:, None] + (q * q).sum(1) - 2 * p @ q.T, 0))
-            counts = ~np.isnan(d) & (part["k"].to_numpy()[:, None] != y["k"].to_numpy())
-            d = np.where(counts, d, 0)
-            for code, l2 in enumerate(codes[1]):
-                at = codes[0] == code
-                out.append(pd.DataFrame({"k": part["k"], "l": part["l"], "l2": l2, "s": d[:, at].sum(1), "n": counts[:, at].sum(1)}))
-        return pd.concat(out[1:] or out)
-
-    found = mine.unionByName(theirs).groupBy("a", "b").applyInPandas(sums, schema)
-    mean = found.groupBy("k", "l", "l2").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("d"))
-    each = mean.groupBy("k", "l").agg(F.max(F.when(F.col("l") == F.col("l2"), F.col("d"))).alias("a"), F.min(F.when(F.col("l") != F.col("l2"), F.col("d"))).alias("b"))
-    s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
-    return each.agg(F.avg(s).alias("silhouette"))
+        alone = len(pair) == 1
+        one, other = pair.iloc[0], pair.iloc[-1]
+        if alone and one["pair"] // blocks != one["pair"] % blocks:
+            return pd.DataFrame({"block": pd.Series([], dtype=int), "s": [], "n": [], "codes": [], "keys": [], "known": []})  # the other block has no rows
+        (x, known, mine), (y, known_y, theirs) = unpacked(one["x"], one["codes"]), unpacked(other["x"], other["codes"])
+        keys, centre = np.frombuffer(one["keys"], np.int32), x.mean(0)
+        x, y = x - centre, y - centre
+        p = np.column_stack([-2 * x, (x * x).sum(1), np.ones(len(x))])
+        q = np.column_stack([y, np.ones(len(y)), (y * y).sum(1)])
+        s, s_y = np.zeros(mine.shape), np.zeros(theirs.shape)
+        for i in range(0, len(p), 512):
+            for j in range(0, len(q), 512):
+                d = p[i : i + 512] @ q[j : j + 512].T
+                np.sqrt(np.maximum(d, 0, out=d), out=d)
+                if alone:
+                    d[keys[i : i + 512, None] == keys[j : j + 512]] = 0
+                else:
+                    s_y[j : j + 512] += d.T @ mine[i : i + 512]
+                s[i : i + 512] += d @ theirs[j : j + 512]
+        s[~known], s_y[~known_y] = 0, 0
+        out = [(one["block"], s.tobytes(), theirs.sum(0).tobytes(), *((one["codes"], one["keys"], known.tobytes()) if alone else (None, None, None)))]
+        if not alone:
+            out.append((other["block"], s_y.tobytes(), mine.sum(0).tobytes(), None, None, None))
+        return pd.DataFrame(out, columns=["block", "s", "n", "codes", "keys", "known"])
+
+    def scores(parts: pd.DataFrame) -> pd.DataFrame:
+        own = parts[parts["keys"].notna()].iloc[0]
+        keys, code = np.frombuffer(own["keys"], np.int32), np.frombuffer(own["codes"], np.int32).reshape(-1, len(names))
+        s, n = (np.sum([np.frombuffer(v, float) for v in parts[c]], axis=0) for c in ("s", "n"))
+        s, known = s.reshape(len(keys), ends[-1]), np.frombuffer(own["known"], bool)
+        same = np.zeros((keys.max() + 1, ends[-1]))
+        for i in range(len(names)):
+            at = np.flatnonzero(known & (code[:, i] >= 0))
+            np.add.at(same, (keys[at], ends[i] + code[at, i]), 1)
+        n = np.where(known[:, None], n - same[keys], 0)
+        out: dict[str, list] = {}
+        for i, name in enumerate(names):
+            # Rows of one key and label are one row.
+            group, at = np.unique(np.column_stack([keys, code[:, i]]), axis=0, return_inverse=True)
+            total, count = np.zeros((len(group), ends[i + 1] - ends[i])), np.zeros((len(group), ends[i + 1] - ends[i]))
+            np.add.at(total, at.ravel(), s[:, ends[i] : ends[i + 1]])
+            np.add.at(count, at.ravel(), n[:, ends[i] : ends[i + 1]])
+            mean = np.where(count > 0, total / np.maximum(count, 1), np.inf)
+            label, row = group[:, 1], np.arange(len(group))
+            a = np.full(len(group), np.inf)
+            a[label >= 0] = mean[row, label][label >= 0]
+            mean[row[label >= 0], label[label >= 0]] = np.inf
+            b = mean.min(1, initial=np.inf)
+            both = np.isfinite(a) & np.isfinite(b)
+            top = np.where(both, np.maximum(a, b), 1)
+            out[f"{name}_s"] = [float(((b[both] - a[both]) / np.where(top > 0, top, 1)[both]).sum())]
+            out[f"{name}_n"] = [int((top > 0).sum())]
+        return pd.DataFrame(out)
+
+    packed = rows.select("k", *codes, "v", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int").alias("block")).groupBy("block").applyInPandas(pack, "block int, x binary, codes binary, keys binary")
+    a, b = F.least("block", "other"), F.greatest("block", "other")
+    pairs = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).withColumn("pair", (a * blocks + b).cast("int")).drop("other")
+    found = pairs.repartition(min(1000, blocks * (blocks + 1) // 2), "pair").groupBy("pair").applyInPandas(sums, "block int, s binary, n binary, codes binary, keys binary, known binary")
+    kinds = ", ".join(f"{n}_s double, {n}_n bigint" for n in names)
+    each = found.groupBy("block").applyInPandas(scores, kinds)
+    return each.agg(*[F.try_divide(F.sum(f"{n}_s"), F.sum(f"{n}_n")).alias(c) for c, n in zip(labels, names, strict=True)])
 
 
 def calinski_harabasz(df: DataFrame, vector: str, label: str) -> DataFrame:
