@@ -169,3 +169,13 @@ def test_silhouettes_of_several_labels_at_once(spark):
             a, b = means.get(own), min((m for other, m in means.items() if other != own), default=None)
             scores.append(0.0 if own is None or a is None or b is None else (b - a) / max(a, b))
         assert abs(both[c] - np.mean(scores)) < 1e-9
+
+
+def test_gate_runs_each_step_once(spark):
+    rows = S.user_days(spark, "/root/testdata/sf0.001")
+    kept, rejected = curation.gate(rows, spark.createDataFrame([(3, 4)], "ws int, we int"), least=5)
+    plan = kept.select("series_id").unionByName(rejected.select("series_id"))._jdf.queryExecution().withCachedData()
+    leaves = plan.collectLeaves()
+    names = {leaves.apply(i).getClass().getSimpleName() for i in range(leaves.size())}
+    spark.catalog.clearCache()
+    assert names == {"InMemoryRelation"}

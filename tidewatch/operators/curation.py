@@ -20,13 +20,15 @@ def gate(df: DataFrame, disruptions: DataFrame, least: int = 10, longest_gap: in
     """(kept, rejected) of long series (series_id, t, v with nulls for missing).
 
     kept: series_id, t, x (min-max normalised), series_type, n_obs, n_filled. A series with a structural decline ends at its peak;
-    one with a plateau ends with it; any other keeps all its rows. rejected: series_id and the first gate that it failed.
+    one with a plateau ends with it; any other keeps all its rows. rejected: series_id and the first gate that it failed. What several
+    gates read is persisted, as partitions of whole series, so that each step runs once.
     """
+    df = df.persist()
     first = df.groupBy("series_id").agg(F.count("v").alias("known"))
     filled = W.fill_gaps(W.trim_ends(df.where(F.col("t").isNotNull())), longest_gap)
-    rows = W.indexed(filled).withColumn("peak", F.max("v").over(W.series())).withColumn("at", W.first_peak()).withColumn("_d", F.col("v") - F.lag("v").over(W.ordered()))
+    rows = W.indexed(filled).withColumn("peak", F.max("v").over(W.series())).withColumn("at", W.first_peak()).withColumn("_d", F.col("v") - F.lag("v").over(W.ordered())).persist()
     facts = rows.groupBy("series_id").agg(F.count_if(F.col("v").isNull()).alias("holes"), F.max("at").alias("at"), F.avg(F.when((F.col("i") <= F.col("at")) & (F.col("i") > 0), (F.col("_d") >= 0).cast("double"))).alias("up"), F.count_if("filled").alias("n_filled"))
-    whole = rows.join(facts.where(F.col("holes") == 0).select("series_id"), "series_id", "left_semi").select("series_id", "t", "v")
+    whole = rows.join(facts.where(F.col("holes") == 0).select("series_id"), "series_id", "left_semi").select("series_id", "t", "v").persist()
     fall = W.structural_declines(whole, disruptions, drop, decline_rows).select("series_id", F.lit(True).alias("falls"))
     # The plateau's run is counted from the peak on, so its last place is that of the peak plus first_i + n - 1.
     flat = W.saturation_runs(whole, band, plateau_rows).select("series_id", (F.col("first_i") + F.col("n") - 1).alias("flat_end"))
@@ -34,7 +36,7 @@ def gate(df: DataFrame, disruptions: DataFrame, least: int = 10, longest_gap: in
     kind = F.when(F.col("falls"), "declining_structural").when(F.col("flat_end").isNotNull(), "saturating").otherwise("pre_saturation")
     end = F.when(F.col("falls"), F.col("at")).when(F.col("flat_end").isNotNull(), F.col("at") + F.col("flat_end")).otherwise(F.col("n") - 1)
     final = typed.withColumn("series_type", kind).withColumn("_end", end).where(F.col("i") <= F.col("_end"))
-    scaled = W.minmax(final)
+    scaled = W.minmax(final).persist()
     sizes = scaled.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_obs"), (F.max("x") - F.min("x")).alias("spread"))
     facts = first.join(facts, "series_id", "left").join(sizes, "series_id", "left")
     reason = (
@@ -45,7 +47,7 @@ def gate(df: DataFrame, disruptions: DataFrame, least: int = 10, longest_gap: in
         .when(F.col("n_obs") < least, REASONS[4])
         .when(F.col("spread") < variation, REASONS[5])
     )
-    judged = facts.withColumn("reason", reason)
+    judged = facts.withColumn("reason", reason).persist()
     ok = judged.where(F.col("reason").isNull()).select("series_id", "n_obs", "n_filled")
     return scaled.join(ok, "series_id").select("series_id", "t", "x", "series_type", "n_obs", "n_filled"), judged.where(F.col("reason").isNotNull()).select("series_id", "reason")
 
